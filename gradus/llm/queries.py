@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import chat, mixing, secret_scan
+from gradus.llm import bpe, chat, mixing, rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,25 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = rank_file()
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).select("doc_id", "ids")
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return bpe.decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -42,6 +61,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *counts, digest(secret_scan.written(F.col("spans"), base)).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op8_source_mix, op9_secret_scan)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = rules.cascade(docs, measures=rules.MEASURES)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *rules.MEASURES, failed.alias("base_failed"), "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_chat_formatting, op8_source_mix, op9_secret_scan, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
