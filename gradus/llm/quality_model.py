@@ -223,6 +223,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 #: The rating of the tables here: a point for quality, a point for not being toxic.
 GRADES, GOOD = 3, 2
+#: Least probability of the best grade that is accepted.
+ACCEPT = 0.8
 
 
 def rating() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, mixing, rules, secret_scan, simhash
+from gradus.llm import bpe, chat, mixing, quality_model, rules, secret_scan, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -49,6 +53,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), quality_model.rating(), quality_model.GRADES)
+    scored = quality_model.score(docs, model)
+    good = F.element_at("tails", quality_model.GOOD)
+    return scored.select("doc_id", "expected_grade", good.alias("p_good"), (good >= quality_model.ACCEPT).alias("kept"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,6 +80,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_chat_formatting, op8_source_mix, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op6_quality_classifier, op8_source_mix, op9_secret_scan, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
