@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, mixing, quality_model, rules, secret_scan, simhash, suffix_dedup, topk
+from gradus.llm import bpe, chaining, chat, mixing, quality_model, rules, secret_scan, simhash, suffix_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", good.alias("p_good"), (good >= quality_model.ACCEPT).alias("kept"))
 
 
+def op7_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -86,6 +90,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_classifier, op8_source_mix, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_classifier, op7_substring_chaining, op8_source_mix, op9_secret_scan, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
