@@ -28,10 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component, one row of it if the id stands twice."""
-    first = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"])).drop("kept_id")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps one document of each group: the one of the smallest id, then the smallest hash of the text; rows without an id come last."""
+    ordered = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat(F.coalesce(ordered, F.lit("~")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    first = simhash.near_duplicates(docs.select(key.alias("kept_row"), "text"), "kept_row").where("kept_row = component").select(F.col("kept_row").alias("kept")).distinct()
+    told = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("kept_doc"), key.alias("kept_row"))
+    return told.join(first, F.col("kept_row") == F.col("kept")).dropDuplicates(["kept_row"]).select("kept_doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
