@@ -79,8 +79,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``. Ids have to be unique here; a null id is
-    one id. Rows of size 0 take no words and are not in the mix."""
-    taken = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col(id_col).alias("x_id"), F.col("copies").alias("x_copies"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["x_id"]))
-    return joined.withColumn("x_copy", F.explode(F.sequence(F.lit(1), F.col("x_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``. Rows of size 0 take no words and are not in the
+    mix. Rows are told by id, source and text, and equal ones by a number among them."""
+    told = F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(text_col).alias("t"))))
+    number = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    slim = docs.select(told.alias("x_row"), F.col(text_col).alias("x_text"), F.col(source_col).alias("x_source"))
+    taken = mix(slim, "x_row", "x_text", "x_source", **how).select(F.col("x_row").alias("y_row"), "copies").withColumn("y_no", number("y_row"))
+    full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("x_doc"), told.alias("x_row")).withColumn("x_no", number("x_row"))
+    joined = full.join(taken.where("copies > 0"), (F.col("x_row") == F.col("y_row")) & (F.col("x_no") == F.col("y_no")))
+    return joined.select("x_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("x_doc.*")

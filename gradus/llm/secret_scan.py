@@ -6,7 +6,8 @@ what a document has, and the rules that pass are verified on the whole text. Rul
 
 Defined results: a null text is empty and has no spans; rows are scanned one by one, so equal rows get equal results, also where ids
 repeat or are null; positions are code points, ends exclusive; matches of a rule are leftmost and do not overlap; spans of different rules
-may overlap and are all given, by start, then in the rules' order. Columns of the input besides id and text are kept as they are.
+may overlap and are all given, by start, then in the rules' order. Columns of the input besides id and text are kept as they are,
+but for one called spans.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
         if rule.kind in indexed:
             possible = F.array_contains(kinds, F.lit(rule.kind)) & possible
         each.append(F.when(possible, matches(text, rule, order)).otherwise(empty))
-    return named.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*each)).alias("spans"))
+    return named.select(*[docs[c] for c in docs.columns if c != "spans"], F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def written(spans: Column, kinds: Sequence[str] | None = None) -> Column:
