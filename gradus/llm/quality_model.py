@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
         model = fit_ordinal(of, feature[places], value[places], good, n_grades)
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((model.weights, model.thresholds))]})
 
-    found = texts.mapInArrow(featured, "id long, grade int, feature array<int>, value array<float>").coalesce(1).mapInArrow(fitted, "model binary").collect()
+    found = texts.mapInArrow(featured, "id long, grade int, feature array<int>, value array<float>").repartition(1).mapInArrow(fitted, "model binary").collect()
     return Model(*pickle.loads(found[0].model))
 
 
