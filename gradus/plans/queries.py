@@ -181,8 +181,8 @@ def j_decontaminate(spark, sf_dir):
     words = F.split("item", r"\s+")
     long = items.where(F.size(words) >= 7).select("item", F.array_join(F.slice(words, 2, 5), " ").alias("key"))
     parts = F.split("text", r"\s+")
-    five = docs.select("doc_id", "text", parts.alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("key")).distinct()
-    near = five.join(long, "key").select("doc_id", "item")
+    five = docs.select("doc_id", parts.alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("key"))
+    near = five.join(long, "key").select("doc_id", "item").distinct()
     short = items.where(F.size(words) < 7).select("item")
     if not short.isEmpty():
         near = near.union(docs.join(short, F.contains("text", "item")).select("doc_id", "item"))
@@ -324,6 +324,13 @@ q as (select dataset, lang, doc_id % 50 <> 7 was, list_position(['de', 'en', 'es
 s as (select dataset, was, case when list_position(p, list_max(p)) = gold then 1.0 else 0.0 end hit, list_max(p) conf, -ln(p[gold]) nll from q),
 b as (select dataset, ceil(conf * 15) bin, count(*) m, sum(hit) h, sum(conf) c, sum(nll) l, sum(case when was then 1.0 else 0.0 end) w from s group by 1, 2),
 d as (select dataset, cast(sum(m) as bigint) n, sum(h) / sum(m) accuracy, sum(l) / sum(m) nll, sum(abs(c - h)) / sum(m) ece, sum(w) / sum(m) answered from b group by 1)"""
+
+
+def scored_sql(select: str, name: str) -> str:
+    """The tables of made-up predictions and their metrics, and ``select`` over them as ``name``."""
+    return f"{_PREDICTED}, {name} as ({select})"
+
+
 _BINARY = f"with e as (select event_type, case when event_id % 40 <> 3 then {_B('cast(event_id as varchar)', 101)} / 100.0::double end p, value > 50 gold from events)"
 _SWEEP = _BINARY + """, t as (select unnest(range(1, 20)) step), c as (select step, count(*) filter (gold and round(p * 20, 9) >= step) tp, count(*) filter (not gold and round(p * 20, 9) >= step) fp,
 count(*) filter (gold and round(p * 20, 9) < step) fn, count(*) filter (not gold and round(p * 20, 9) < step) tn from t, e where p is not null group by 1),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +30,71 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Rows (archive, member, line_no, line): the lines of the files in zip, tar, tar.gz archives whose names end in ``suffix``, a leading byte
+    order mark left out, bytes that are no UTF-8 replaced.
+
+    An archive cannot be split, so each is a task's work; its bytes have to fit a row (2 GB), its members are read line by line."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "archive string, member string, line_no bigint, line string"
+    names = ["archive", "member", "line_no", "line"]
+
+    def opened(content: bytes) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        if content[:2] == b"PK":
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in z.infolist():
+                    if not info.is_dir() and info.filename.endswith(suffix):
+                        with z.open(info) as f:
+                            yield info.filename, f
+        else:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                for info in t:
+                    if info.isfile() and info.name.endswith(suffix):
+                        yield info.name, t.extractfile(info)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for member, f in opened(content.as_py()):
+                    numbers, lines = [], []
+                    for n, line in enumerate(io.TextIOWrapper(f, "utf-8-sig", "replace", newline="\n")):
+                        numbers.append(n)
+                        lines.append(line.rstrip("\r\n"))
+                        if len(lines) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array([archive] * len(lines)), pa.array([member] * len(lines)), pa.array(numbers, pa.int64()), pa.array(lines)], names=names)
+                            numbers, lines = [], []
+                    if lines:
+                        yield pa.RecordBatch.from_arrays([pa.array([archive] * len(lines)), pa.array([member] * len(lines)), pa.array(numbers, pa.int64()), pa.array(lines)], names=names)
+
+    return found.mapInArrow(run, schema)
+
+
+def json_members(spark: SparkSession, path: str, schema: str, suffix: str = ".jsonl") -> DataFrame:
+    """JSON lines in archives: rows (member, and the columns of ``schema``)."""
+    lines = members(spark, path, suffix).where(F.trim("line") != "")
+    return lines.select("member", F.from_json("line", schema).alias("j")).select("member", "j.*")
+
+
+def configurations(spark: SparkSession, paths: dict[str, str], skipped: tuple[str, ...] = ()) -> DataFrame:
+    """All configurations of a source but the skipped ones, with a config column."""
+    return union([spark.read.parquet(p).withColumn("config", F.lit(c)) for c, p in sorted(paths.items()) if c not in skipped])
+
+
 def save(samples: DataFrame, path: str) -> None:
-    """Partitioned by dataset and split, so that a split is read alone."""
-    samples.write.partitionBy("dataset", "split").parquet(path)
+    """Partitioned by dataset and split, so that a split is read alone; the manifest beside it has a row for each dataset and split, empty
+    splits with n = 0, so that reading one does not fail."""
+    samples.write.partitionBy("dataset", "split").parquet(f"{path}/samples")
+    spark = samples.sparkSession
+    written = spark.read.schema(samples.schema).parquet(f"{path}/samples")
+    splits = F.explode(F.array(*[F.lit(s) for s in ("train", "validation", "test")])).alias("split")
+    n = written.groupBy("dataset", "split").agg(F.count("*").alias("n"))
+    every = n.select("dataset").distinct().select("dataset", splits)
+    every.join(n, ["dataset", "split"], "left").fillna(0, ["n"]).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def load(spark: SparkSession, path: str, dataset: str, split: str) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("split") == split))
+    return spark.read.parquet(f"{path}/samples").where((F.col("dataset") == dataset) & (F.col("split") == split))

@@ -4,8 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.functions import row
-from gradus.operators import builders, load, metrics, splits
+from gradus import config
+from gradus.functions import parse, row
+from gradus.operators import augment, builders, load, metrics, selection, splits, structured
+from gradus.sources import tables
 
 SHAPE = "dataset string, split string, pos long, state string, question string, options array<struct<id:string,text:string>>, label array<float>, group string, type string"
 
@@ -85,3 +87,102 @@ def test_no_import_of_the_optional_subpackage():
     for p in root.rglob("*.py"):
         if p.parent.name != "llm":
             assert not re.search(r"gradus\.llm|from \.+llm", p.read_text())
+
+
+def test_fragments_are_the_regex_boundaries(spark):
+    texts = ["One. Two! Three", "a.\n\nb", "", "no end", "Is it? 5 yes.  Да. нет", "x. y. Z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for (got,), t in zip(df.select(parse.fragments(F.col("t"))).collect(), texts):
+        ends = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+(?=[А-ЯЁA-Z0-9])|\n+", t)), len(t)]
+        assert [(f.start, f.end, f.text) for f in got] == [(a, b, t[a:b].strip()) for a, b in zip(ends, ends[1:])]
+
+
+def test_alias_groups_reach_through_others(spark):
+    df = spark.createDataFrame([(list("abcdef"), [("a", "b"), ("c", "d"), ("d", "b")])], "i array<string>, l array<struct<subject:string,object:string>>")
+    got = {frozenset(g) for g in df.select(parse.alias_groups(F.col("i"), F.col("l"))).first()[0]}
+    assert got == {frozenset("abcd"), frozenset("e"), frozenset("f")}
+
+
+def test_unique_objects(spark):
+    text = "Ann works at Acme in Rome. Bob likes Oslo. Ann met Acme Ltd."
+    ents = [("T1", "P", 0, "Ann"), ("T2", "ORG", 13, "Acme"), ("T3", "LOC", 21, "Rome"), ("T4", "P", 27, "Bob"), ("T5", "LOC", 37, "Oslo"), ("T6", "ORG", 51, "Acme Ltd")]
+    lines = [f"{i}\t{k} {a} {a + len(t)}\t{t}" for i, k, a, t in ents] + ["T7\tLOC 0 3;4 6\tx", "R1\tIN Arg1:T1 Arg2:T3", "R2\tIN Arg1:T4 Arg2:T5", "R3\tAT Arg1:T1 Arg2:T2", "R4\tIN Arg1:T9 Arg2:T5", "R5\tIN Arg1:T1 Arg2:T3", "R6\tOTHER Arg1:T1 Arg2:T3"]
+    df = spark.createDataFrame([(1, text, "\n".join(lines)), (2, text, ""), (3, None, None)], "id long, text string, notes string")
+    got = {(r.kind, r.subject, r.object, tuple(r.others)) for r in structured.unique_objects(df, "id", "text", "notes", ["IN", "AT"], ["SAME"]).collect()}
+    assert got == {("IN", "Ann", "Rome", ("Oslo",)), ("IN", "Bob", "Oslo", ("Rome",)), ("AT", "Ann", "Acme", ())}
+
+
+def test_plain_table_rejects(spark):
+    def cells(*values, head=False, span=1):
+        return [(v, head, span, 1) for v in values]
+
+    good = [cells("a", "b", head=True), cells("1", "x"), cells("2", " y  z ")]
+    bad = [[], good[:2], [cells("a", "A", head=True), *good[1:]], [good[0], cells("1", "x", span=2), good[2]], [good[0], cells("1"), good[2]], [cells("a", "", head=True), *good[1:]], [cells("a", "b"), *good[1:]]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([good, *bad, None])], "i int, t array<array<struct<value:string,is_header:boolean,column_span:int,row_span:int>>>")
+    got = [r[0] for r in df.select(parse.plain_table(F.col("t")), "i").orderBy("i").collect()]
+    assert got[0].headers == ["a", "b"] and got[0].rows == [["1", "x"], ["2", "y z"]] and got[1:] == [None] * 8
+
+
+def test_evidence(spark):
+    text = "Rome is old. Oslo is cold. Rome is big.\nIt rains."
+    rows = [(1, text, "Q", [(27, "Rome")]), (2, text, "Q", [(3, "Rome")]), (3, text, " ", [(0, "Rome")]), (4, "One.", "Q", [(0, "One")]), (5, None, "Q", None)]
+    df = spark.createDataFrame(rows, "id int, c string, q string, s array<struct<start:int,text:string>>")
+    got = structured.evidence(df, F.col("c"), F.col("q"), F.col("s")).collect()
+    assert len(got) == 1 and got[0].texts[got[0].place - 1] == "Rome is big." and sorted(got[0].texts) == ["It rains.", "Oslo is cold.", "Rome is big."]
+
+
+def test_fewer_options_keep_the_answer(spark):
+    options, label = [(c, c) for c in "abcde"], [0.0, 0.0, 1.0, 0.0, 0.0]
+    df = spark.createDataFrame([(i, options, label) for i in range(300)] + [(300, options, [0.2] * 5), (301, options[:2], [1.0, 0.0])], "i int, options array<struct<id:string,text:string>>, label array<double>")
+    got = augment.fewer_options(df, F.col("i").cast("string"), 0.5).orderBy("i").collect()
+    sizes = [len(r.options) for r in got]
+    assert sizes[300:] == [5, 2] and set(sizes[:300]) == {2, 3, 4, 5} and 100 < sizes[:300].count(5) < 200
+    assert all(len(r.options) == len(r.label) and r.options[r.label.index(1.0)].id == "c" for r in got[:300])
+
+
+def test_drawn_counts(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("dataset"), "id")
+    got = augment.drawn(df, "id", 4000, alpha=0.5, shares=4).groupBy("dataset").agg(F.sum("draws")).collect()
+    n = dict(map(tuple, got))
+    assert sum(n.values()) == 4000 and n["big"] / 4000 == pytest.approx(0.75, abs=0.03)  # 30 to 10
+
+
+def test_archives_and_saved_splits(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.jsonl", "﻿".encode() + b'{"k": 1}\r\n\n{"k": 2}')
+        z.writestr("x/two.txt", "no")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("three.jsonl")
+        info.size = 8
+        t.addfile(info, io.BytesIO(b'{"k": 3}'))
+    got = tables.json_members(spark, f"{tmp_path}/*[pz]", "k int").collect()
+    assert sorted((r.member, r.k) for r in got) == [("three.jsonl", 3), ("x/one.jsonl", 1), ("x/one.jsonl", 2)]
+    rows = [("d", "train", i, f"s{i}", "q", [("a", "a"), ("b", "b")], [1.0, 0.0], None, "choice") for i in range(3)]
+    tables.save(spark.createDataFrame(rows, SHAPE), f"{tmp_path}/out")
+    assert sorted((r.split, r.n) for r in tables.manifest(spark, f"{tmp_path}/out").collect()) == [("test", 0), ("train", 3), ("validation", 0)]
+    assert tables.load(spark, f"{tmp_path}/out", "d", "test").count() == 0 and tables.load(spark, f"{tmp_path}/out", "d", "train").count() == 3
+
+
+def test_settings_and_names():
+    assert config.layered({"a": {"b": 1, "c": "x"}}, {"a": {"b": 2}}, ["a.c=y", "a.b=3"]) == {"a": {"b": 3, "c": "y"}}
+    with pytest.raises(ValueError, match="no such setting: a.d"):
+        config.layered({"a": {"b": 1}}, None, ["a.d=1"])
+    assert selection.for_training([], ["x", "y"], {"y"}) == ["x"]
+    with pytest.raises(ValueError, match="held out"):
+        selection.for_training(["y"], ["x", "y"], {"y"})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gradus.__main__ import main
+
+    rows = [("d", "train", i, f"s{i}", "q", [("a", "a"), ("b", "b")], [1.0, 0.0], None, "choice") for i in range(200)]
+    spark.createDataFrame(rows, SHAPE).write.parquet(f"{tmp_path}/in")
+    main(["-s", "prepare.most=100", "prepare", f"{tmp_path}/in", f"{tmp_path}/out", "d"])
+    main(["list", f"{tmp_path}/out"])
+    assert "validation" in capsys.readouterr().out
+    n = {r.split: r.n for r in tables.manifest(spark, f"{tmp_path}/out").collect()}
+    assert n["train"] == 100 and n["test"] > 0 and n["validation"] > 0

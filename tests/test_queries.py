@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gradus.plans.queries import QUERIES, SQL
+from gradus.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
