@@ -243,6 +243,19 @@ def test_fuzzy_passages(spark, docs, rows):
     assert chaining.fuzzy_passages(empty(docs)).count() == 0
 
 
+def test_passage_of_common_phrases(spark):
+    """Every phrase of the passage stands in two documents before and two after the ones that share it, each in others."""
+    rng = random.Random(9)
+    passage = prose(rng, 60).split()
+    phrases = [" ".join(passage[i : i + 8]) for i in range(0, 57, 4)]
+    rows = [(200, prose(rng, 40) + " " + " ".join(passage)), (201, " ".join(passage) + " " + prose(rng, 70))]
+    for n, phrase in enumerate(phrases):
+        rows += [(i, f"{prose(rng, 20)} {phrase} {prose(rng, 20)}") for i in (2 * n, 2 * n + 1, 300 + 2 * n, 301 + 2 * n)]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((200, 201))}
+    assert max(r.matched for r in got) == 60
+
+
 def test_chains_are_best():
     rng = random.Random(6)
     for _ in range(30):
