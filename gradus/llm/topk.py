@@ -124,7 +124,8 @@ def _sufficient(k: int, segments: int):
 
     def run(q_ids, q, x_ids, x, cutoffs):
         parts = list(_partials(q, x, segments))
-        floor = -(-cutoffs // segments)  # some partial score is at least the mean, rounded up as all are integers
+        # some partial score is at least the mean, rounded up as all are integers; the least integer can not be negated
+        floor = cutoffs // segments + (cutoffs % segments > 0)
         some = np.zeros(parts[0].shape, bool)
         for p in parts:
             some |= p >= floor[:, None]

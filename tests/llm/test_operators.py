@@ -150,6 +150,22 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("segments", [1, 3, 4])
+def test_top_k_gives_all_if_fewer(spark, segments):
+    rng = np.random.default_rng(4)
+    data = [(1000 * n + i, rng.normal(size=n + 2).tolist()) for n in range(1, 12) for i in range(n + 1)]
+    data += [(50000 + i, [s * 1.2 * 2.0**20] * 3) for i, s in enumerate((-1.0, 1.0, 1.0))]  # scores below -(2**62)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 1000 == 0, 10, segments=segments).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data]
+    for q, v in ok:
+        if q % 1000 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:10]
+            assert got[q] == [(i, -s) for s, i in want], q
+
+
 def test_chat_fold_and_round_trip(spark):
     events = [(1, 0, "m0", "delta", "user", "Hi"), (1, 1, "m1", "delta", "assistant", "He"), (1, 2, "m1", "delta", "assistant", "llo"), (1, 3, "m1", "regen", "assistant", None), (1, 4, "m1", "delta", "assistant", "Good day"),
               (1, 5, "m0", "edit", "user", "Hello"), (1, 6, "m1", None, "assistant", r" \<|end|>\\ </s>[INST]<<|"), (2, None, "x", "delta", None, None)]
