@@ -4,7 +4,7 @@ Every rule's regular expression gives a Boolean trigram query: an AND of ORs of
 keeps a posting (trigram, document) for the trigrams that some query names. Postings are intersected by document, the queries decided on
 what a document has, and the rules that pass are verified on the whole text. Rules without a mandatory trigram scan every text.
 
-Defined results: a null text is empty and has no spans; rows are scanned one by one, so equal rows get equal results, also where ids
+Defined results: a private key without an END line is taken for 400 lines at most; a null text is empty and has no spans; rows are scanned one by one, so equal rows get equal results, also where ids
 repeat or are null; positions are code points, ends exclusive; matches of a rule are leftmost and do not overlap; spans of different rules
 may overlap and are all given, by start, then in the rules' order. Columns of the input besides id and text are kept as they are,
 but for one called spans.
@@ -38,9 +38,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # a run of fewer digits holds no match, so this finds what [0-9a-f]+ and the least length find
 )
-#: Kinds that the method adds.
+_KEY = r"(?:(?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----"
+#: Kinds that the method adds. A private key goes on to its END line, over base64, headers and the escaped line ends of quoted texts; where it
+#: has no such line, over the lines of base64 that follow. Only character classes repeat without bound, as Java recurses on groups.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
+    Rule("private_key", rf"""-----BEGIN {_KEY}(?:[A-Za-z0-9+/=\x20\t\r\n:,.()@<>_"'\\-]*?-----END {_KEY}|(?:(?:[\x20\t\r\n"'+]|\\[nr]){{1,16}}[A-Za-z0-9+/=]{{40,}}){{0,400}}(?:(?:[\x20\t]?\r?\n|\\n)[A-Za-z0-9+/]{{1,39}}={{1,2}})?)"""),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -347,6 +347,23 @@ def test_trigram_queries():
                 assert all(any(all(g in text.lower() for g in grams) for grams in clause) for clause in secret_scan.trigram_query(rule.pattern))
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(6)
+    body = lambda n: ["".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(n)] + ["QUJDRA=="]
+    kinds = ["", "RSA ", "EC ", "OPENSSH ", "DSA ", "ENCRYPTED "]
+    heads = [(f"{k}PRIVATE KEY", []) for k in kinds] + [("RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]), ("PGP PRIVATE KEY BLOCK", ["Version: GnuPG v1.4.11 (GNU/Linux)", "Comment: <a_b@c.org>", ""])]
+    whole = ["\n".join([f"-----BEGIN {h}-----", *more, *body(30), f"-----END {h}-----"]) for h, more in heads]
+    whole += [whole[1].replace("\n", "\r\n"), whole[1].replace("\n", r"\n"), whole[1].replace("\n", '\\n" +\n  "'), "\n".join(["-----BEGIN PRIVATE KEY-----", *body(3000), "-----END PRIVATE KEY-----"])]
+    cut = ["\n".join(["-----BEGIN PRIVATE KEY-----", *body(20)]), "\n".join(["-----BEGIN PRIVATE KEY-----", *body(20)[:-1]])]
+    texts = [f"see {w} so; it ends" for w in whole] + [f"see {c}\nso; it ends" for c in cut]
+    texts += [f"two {whole[0]} so; {whole[1]} so; it ends", "a -----BEGIN PRIVATE KEY----- line; no more", "-----BEGIN PRIVATE KEY-----" + " a-b" * 50000 + "; end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r[0] for r in secret_scan.scan(df).orderBy("doc_id").select(secret_scan.redacted(F.col("text"), F.col("spans"))).collect()]
+    assert got[: len(whole)] == ["see [SECRET] so; it ends"] * len(whole)
+    assert got[len(whole) : -3] == ["see [SECRET]\nso; it ends"] * len(cut)
+    assert got[-3:] == ["two [SECRET] so; [SECRET] so; it ends", "a [SECRET] line; no more", "[SECRET]" + " a-b" * 50000 + "; end"]
+
+
 def test_redacted(spark, docs):
     out = secret_scan.scan(docs).select("doc_id", secret_scan.redacted(F.coalesce("text", F.lit("")), F.col("spans")).alias("t"), "text", "spans").collect()
     for r in out:
