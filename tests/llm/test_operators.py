@@ -272,6 +272,22 @@ def test_passage_of_common_phrases(spark):
     assert max(r.matched for r in got) == 60
 
 
+def test_all_holders_of_frequent_seeds_meet(spark):
+    """Two documents share 60 words but for the one in the middle; each phrase also stands in hundreds of others on both sides."""
+    rng = random.Random(10)
+    passage = prose(rng, 60).split()
+    other = [*passage[:30], "changed", *passage[31:]]
+    rows = [(5000, prose(rng, 40) + " " + " ".join(passage)), (5001, " ".join(other) + " " + prose(rng, 30))]
+    phrases = [" ".join(passage[i : i + 8]) for i in range(0, 53, 4)]
+    rows += [(i + side, f"{prose(rng, 6)} {phrases[i % len(phrases)]} {prose(rng, 6)}") for i in range(300) for side in (0, 9000)]
+    # two of another passage, of which a first and a last document have 42 words only
+    run = prose(rng, 52).split()
+    rows += [(20001, " ".join(run)), (20002, prose(rng, 9) + " " + " ".join(run)), (20000, " ".join(run[5:47]) + " " + prose(rng, 9)), (20003, prose(rng, 9) + " " + " ".join(run[5:47]))]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} >= {(5000, 5001), (5001, 5000), (20001, 20002), (20002, 20001)}
+    assert max(r.matched for r in got if r.doc_id == 5000) == 59
+
+
 def test_chains_are_best():
     rng = random.Random(6)
     for _ in range(30):
