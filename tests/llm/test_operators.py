@@ -288,6 +288,19 @@ def test_all_holders_of_frequent_seeds_meet(spark):
     assert max(r.matched for r in got if r.doc_id == 5000) == 59
 
 
+def test_every_fuzzy_passage_is_found(spark):
+    """Passages of 52 words with every sixth to tenth changed, and with every fifth changed after five words, which leaves one seed."""
+    rng, rows, want = random.Random(11), [], set()
+    for n in range(120):
+        passage, every = prose(rng, 52).split(), 5 + n % 6
+        at = range(5, 51, 5) if every == 5 else range(every - 1, 50, every)
+        fuzzy = [f"changed{n}_{i}" if i in at else w for i, w in enumerate(passage)]
+        rows += [(2 * n, prose(rng, 30) + f" left{n} " + " ".join(passage) + f" right{n} " + prose(rng, 30)), (2 * n + 1, prose(rng, 50) + " " + " ".join(fuzzy) + " " + prose(rng, 9))]
+        want.add((2 * n, 2 * n + 1))
+    got = {(r.doc_id, r.other_id) for r in chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {(b, a) for a, b in want}
+
+
 def test_chains_are_best():
     rng = random.Random(6)
     for _ in range(30):
