@@ -22,8 +22,11 @@ def sample(df: DataFrame, dataset: str, state: Column, question: Column, options
 
 
 def class_names(df: DataFrame, column: str) -> list[str]:
-    """The distinct values in order: the answers of a dataset, a set that its author can read."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1001).collect())
+    """The distinct values in order: the answers of a dataset, a set that its author can read. More than 1,000 raise an error."""
+    names = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1001).collect())
+    if len(names) > 1000:
+        raise ValueError(f"{column} has more than 1,000 values")
+    return names
 
 
 def yes_no(df: DataFrame, dataset: str, state: Column, question: Column, truth: Column, pos: Column, **more) -> DataFrame:

@@ -49,6 +49,12 @@ def test_regroup_keeps_groups_whole(spark):
     assert all(prio[g.target] == home[key(rows[g.pos])] for g in got)
 
 
+def test_class_names_are_whole_or_an_error(spark):
+    assert builders.class_names(spark.range(1000), "id") == list(range(1000))
+    with pytest.raises(ValueError, match="1,000"):
+        builders.class_names(spark.range(1001), "id")
+
+
 def test_text_choice_bounds_and_folds(spark):
     rows = spark.createDataFrame([(1, "Yes"), (2, "only")], "id long, answer string")
     pairs = [(1, w) for w in ["yes ", "no", "NO", "", "maybe", "never"]] + [(2, "ONLY")]
