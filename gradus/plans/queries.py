@@ -111,11 +111,11 @@ def u_mentions(spark, sf_dir):
 
 def u_spans(spark, sf_dir):
     """Tags by the first letter of a word; spans are runs of words that begin alike."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    c = table(spark, sf_dir, "conversations")
     tokens = F.split("text", " ")
     tag = F.transform(tokens, lambda t, i: F.when(~t.rlike("^[a-m]"), F.lit("O")).when(i % 3 == 0, F.lit("B-x")).otherwise("I-x"))
     spans = row.spans_of_tags(F.col("tokens"), F.col("tags"))
-    return c.select("conv_id", tokens.alias("tokens"), tag.alias("tags")).select("conv_id", F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit("="), s["text"])), "|").alias("spans"))
+    return c.select("conv_id", "turn", tokens.alias("tokens"), tag.alias("tags")).select("conv_id", "turn", F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit("="), s["text"])), "|").alias("spans"))
 
 
 def c_lang(spark, sf_dir):

@@ -20,6 +20,15 @@ def test_spans_of_tags(spark):
     assert got == [[("x", "b c"), ("y", "e"), ("x", "g")], []]
 
 
+def test_u_spans_gives_every_turn(spark):
+    from gradus.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    turns = lambda df: sorted(map(tuple, df.select("conv_id", "turn").collect()))
+    want = turns(spark.read.parquet(f"{data}/conversations.parquet"))
+    assert turns(QUERIES["u_spans"](spark, data)) == want and any(t for _, t in want)
+
+
 def test_mentions(spark):
     df = spark.createDataFrame([("The other the, THE then.", "the")], "a string, b string")
     assert df.select(row.mentions(F.col("a"), F.col("b"))).first()[0] == 3
