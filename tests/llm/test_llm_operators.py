@@ -301,22 +301,119 @@ def test_every_fuzzy_passage_is_found(spark):
     assert got == want | {(b, a) for a, b in want}
 
 
-def test_chains_are_best():
+def linked_classes(rows, links):
+    """Smallest id that each row with a link reaches."""
+    to = {}
+
+    def root(i):
+        while to.get(i, i) != i:
+            i = to[i]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        to[max(x, y)] = to[min(x, y)] = min(x, y)
+    return {i: root(i) for i in {i for link in links for i in link}}
+
+
+def exact_links(rows, least):
+    """Links between rows that share ``least`` words in order, without a step between."""
+    first, out = {}, set()
+    for i, text in rows:
+        w = chaining.words(text)
+        for at in range(len(w) - least + 1):
+            j = first.setdefault(tuple(w[at : at + least]), i)
+            if i != j:
+                out.add((j, i))
+    return out
+
+
+def hot_rows(rng):
+    """A passage in 90 documents, 60 near copies with a few words changed, three common lines side by side in 40, two near copies of a passage
+    that is made of common phrases only, a word that is repeated, copies, and documents that share a line only."""
+    line = [prose(rng, 12) for _ in range(3)]
+    hot, base, mixed = prose(rng, 60), prose(rng, 130).split(), prose(rng, 56).split()
+    rows = [(i, f"{prose(rng, 9)} {hot} {prose(rng, 20)}") for i in range(90)]
+    for i in range(100, 160):
+        text = list(base)
+        for _ in range(6):
+            text[rng.randrange(len(text))] = prose(rng, 1) + "x"
+        rows.append((i, " ".join(text)))
+    rows += [(i, f"{prose(rng, 40)} {line[0]} {line[1]} {line[2]} {prose(rng, 40)}") for i in range(200, 240)]
+    rows += [(i, f"{prose(rng, 30)} {rng.choice(line)} {prose(rng, 30)}") for i in range(240, 300)]
+    phrases = [" ".join(mixed[i : i + 8]) for i in range(0, 49, 4)]
+    rows += [(300 + i, f"{prose(rng, 7)} {phrases[i % len(phrases)]} {prose(rng, 50)}") for i in range(250)]
+    rows += [(600, f"{prose(rng, 20)} {' '.join(mixed)}"), (601, f"{' '.join([*mixed[:20], 'other', *mixed[21:40], 'words', *mixed[41:]])} {prose(rng, 20)}")]
+    rows += [(610, "again " * 80), (611, prose(rng, 5) + " again" * 70 + " " + prose(rng, 8)), (612, prose(rng, 60) + " again again"), (613, "one two " * 90), (614, "one two " * 40 + prose(rng, 20))]
+    rows += [(i, rows[0][1]) for i in range(620, 650)]
+    return rows
+
+
+@pytest.mark.parametrize("rare,hot", [(chaining.RARE, chaining.HOT), (3, 20)])
+def test_frequent_passages_keep_all_links(spark, rare, hot):
+    rng = random.Random(12)
+    rows = hot_rows(rng)
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rare=rare, hot=hot).collect()
+    classes = {r.doc_id: r.class_id for r in got}
+    exact = linked_classes(rows, exact_links(rows, 50))
+    assert all(classes.get(i) == classes.get(j) is not None for i, j in exact.items())
+    near = {i: 100 for i in range(100, 160)}
+    assert {i: classes.get(i) for i in near} == near and classes[600] == classes[601] == 600
+    assert classes[610] == classes[611] == 610 and classes[613] == classes[614] == 613
+    assert set(classes) == {*range(90), *near, 600, 601, 610, 611, 613, 614, *range(620, 650)}
+    assert all(classes[i] == 0 for i in (*range(90), *range(620, 650)))
+    text = dict(rows)
+    for r in got:  # every row is a link
+        assert r.class_id == classes[r.other_id] and min(r.to_word - r.from_word, r.other_to - r.other_from) >= 50
+        a, b = chaining.words(text[r.doc_id])[r.from_word : r.to_word], chaining.words(text[r.other_id])[r.other_from : r.other_to]
+        assert r.matched <= lcs(a, b) and r.similarity == r.matched / max(len(a), len(b)) >= 0.8
+    assert len(got) < 40 * len(classes)
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_fuzzy_passages_odd_rows(spark):
+    """Null ids and texts, ids with several texts, repeated rows, clashing columns, a long text, shorter texts."""
+    rng = random.Random(13)
+    one, two = prose(rng, 60), prose(rng, 70)
+    long = prose(rng, 30000)
+    rows = [(1, prose(rng, 10) + " " + one), (1, two), (2, one.upper().replace("É", "é")), (3, prose(rng, 4) + " " + two), (None, one), (4, None), (5, ""), (6, prose(rng, 49)), (6, prose(rng, 49)), (7, long), (8, prose(rng, 50) + " " + " ".join(long.split()[20000:20060])), (9, "x"), (3, prose(rng, 4))]
+    rows += [rows[0]] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(3) for c in ("id", "num", "h", "w", "a", "b", "seed", "class_id", "part")})
+    got = chaining.fuzzy_passages(df).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in got} == {(1, 2, 1), (2, 1, 1), (1, 3, 1), (3, 1, 1), (7, 8, 7), (8, 7, 7)}
+    assert next((r.from_word, r.to_word) for r in got if r.doc_id == 7) == (20000, 20060)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert chaining.fuzzy_passages(df.where("doc_id is null")).count() == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("grid", [1, 5])
+def test_chains_are_best(grid):
+    """The best score of all chains of matches that do not overlap; on the grid none do."""
     rng = random.Random(6)
-    for _ in range(30):
-        points = np.array(sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(14)}))
+    for _ in range(60):
+        points = np.array(sorted({(grid * rng.randrange(60 // grid), grid * rng.randrange(60 // grid)) for _ in range(14)}))
         k, gap = 5, 0.1
         best = [0.0] * len(points)
         for i, (x, y) in enumerate(points.tolist()):
             best[i] = k
             for j, (u, v) in enumerate(points.tolist()[:i]):
-                if u < x and v < y and (gain := best[j] - gap * (x - u - k + y - v - k)) > 0:
-                    best[i] = max(best[i], min(gain, best[j]) + min(k, x - u, y - v))
+                if u + k <= x and v + k <= y and (gain := best[j] - gap * (x - u - k + y - v - k)) > 0:
+                    best[i] = max(best[i], gain + k)
         top = chaining.chains(points, k, gap)
-        if top:
-            assert all((np.diff(c, axis=0) > 0).all() for c in top)
-        elif max(best) > k + 1e-9:
-            raise AssertionError("a chain was missed")
+        assert all((np.diff(c, axis=0) > 0).all() for c in top)
+        assert sorted(map(tuple, np.concatenate(top).tolist())) == sorted(map(tuple, points.tolist()))
+        score = k  # of the best chain, link by link
+        for (u, v), (x, y) in zip(top[0].tolist(), top[0].tolist()[1:]):
+            score = min(score - gap * (x - u - k + y - v - k), score) + min(k, x - u, y - v)
+        assert abs(score - max(best)) < 1e-9 if grid == 5 else score > max(best) - 1e-9
 
 
 def test_mix(spark, docs, rows, clashing):
