@@ -3,18 +3,22 @@
 Vectors are packed into blocks, and a stated query set, packed likewise, meets every block of rows once. A score is the sum of partial
 scores over m segments of the dimensions; each segment of a block is one local list.
 
-1. Every block gathers, for each query, the k best of each local list, sums their scores exactly and passes on the k best. The k-th best
-   over all blocks is a lower bound of the k-th best score there is.
-2. That bound is the safe cutoff t. It goes back to the blocks with the queries. An entry can only belong to the result if one of its
-   partial scores is t / m or more; these entries are sufficient and are collected, the rest are never scored in full.
+1. One block in FIRST gathers, for each query, the k best of each local list, sums their scores exactly and passes on the k best. The
+   k-th best of any blocks is a lower bound of the k-th best score there is.
+2. That bound is the safe cutoff t. It goes to all blocks with the queries. An entry can only belong to the result if one of its
+   partial scores is t / m or more; these entries are sufficient and are collected, the rest are never scored in full. A query without
+   a bound (fewer than k entries so far) collects all.
 3. The collected entries' remaining partial scores are added, those of t or more leave the block, and the best k are taken.
 
+So partial scores of all queries and rows are computed once, and those of one block in FIRST once more.
+
 Partial and whole scores are integers, so all comparisons are exact: products run in float64 while every sum stays below 2**53, else in
 int64. Scores beyond int64 raise an error.
 
-Defined results: vectors that are null, or hold a null or a component that is not finite, take no part; a null id takes no part; ids
-that stand twice are rows of their own, and a query never meets rows of its own id; ties go to the smaller id; only vectors of equal
-length are compared; an empty vector has score 0 with others.
+Defined results: vectors that are null, or hold a null or a component that is not finite, take no part; a null id takes no part; rows
+whose ids are equal are rows of their own: each query row has its own result, and meets all rows but itself; a query with fewer than k
+others gets all of them; ties go to the smaller id; only vectors of equal length are compared; an empty vector has score 0 with others; an
+empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from gradus.llm.store import settle
 
 #: Vectors of a packed block of rows and of queries; a pair of blocks is what a task holds.
 ROWS, QUERIES, SEGMENTS = 1024, 512, 4
+#: Of so many blocks one is looked at for the cutoffs.
+FIRST = 8
 SCALE = 1024
 
 
@@ -45,33 +51,63 @@ def _usable(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, first, np.where(ok, lengths, -1)
 
 
-def packed(vectors: DataFrame, id_col: str, vector_col: str, most: int) -> DataFrame:
-    """Rows (dim, ids BINARY, data BINARY): blocks of ``most`` vectors at most of one length, as floor(1024 * x) in int64."""
+def packed(vectors: DataFrame, most: int) -> DataFrame:
+    """From (row, id, asked, vector): rows (dim, rows, ids, asked, data), all but dim BINARY: blocks of ``most`` vectors at most of one length, as
+    floor(1024 * x) in int64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple]] = {}
 
-        def block(dim: int, parts: list) -> pa.RecordBatch:
-            ids, data = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            return pa.RecordBatch.from_pydict({"dim": [dim], "ids": [ids.tobytes()], "data": [data.tobytes()]})
+        def block(dim: int) -> pa.RecordBatch:
+            rows, ids, asked, data = (np.concatenate(c).tobytes() for c in zip(*held.pop(dim)))
+            return pa.RecordBatch.from_pydict({"dim": [dim], "rows": [rows], "ids": [ids], "asked": [asked], "data": [data]})
 
         for batch in batches:
-            x, first, lengths = _usable(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x, first, lengths = _usable(batch.column(3))
+            numbers, ids = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            asked = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for dim in np.unique(lengths[lengths >= 0]).tolist():
-                rows = np.flatnonzero(lengths == dim)
-                scaled = np.floor(SCALE * x[first[rows][:, None] + np.arange(dim)])
+                own = np.flatnonzero(lengths == dim)
+                scaled = np.floor(SCALE * x[first[own][:, None] + np.arange(dim)])
                 if np.abs(scaled).max(initial=0) >= 2.0**62:
                     raise ValueError("a component is too large for scores in 64 bits")
-                for at in range(0, len(rows), most):
-                    parts = held.setdefault(dim, [])
-                    parts.append((ids[rows[at : at + most]], scaled[at : at + most].astype(np.int64)))
+                for at in range(0, len(own), most):
+                    some = own[at : at + most]
+                    held.setdefault(dim, []).append((numbers[some], ids[some], asked[some], scaled[at : at + most].astype(np.int64)))
+                    if sum(len(p[0]) for p in held[dim]) >= most:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return vectors.mapInArrow(run, "dim long, rows binary, ids binary, asked binary, data binary")
+
+
+def _queries(blocks: DataFrame, most: int) -> DataFrame:
+    """Rows (q_block, dim, q_rows, q_ids, q_data): the vectors asked for, ``most`` in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def out(dim: int) -> Iterator[pa.RecordBatch]:
+            rows, ids, data = (np.concatenate(c) for c in zip(*held.pop(dim)))
+            for at in range(0, len(rows), most):
+                own = [c[at : at + most].tobytes() for c in (rows, ids, data)]
+                yield pa.RecordBatch.from_pydict({"dim": [dim], "q_rows": [own[0]], "q_ids": [own[1]], "q_data": [own[2]]})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = np.flatnonzero(np.frombuffer(row["asked"], bool))
+                if len(asked):
+                    rows, ids = (np.frombuffer(row[c], np.int64)[asked] for c in ("rows", "ids"))
+                    parts = held.setdefault(row["dim"], [])
+                    parts.append((rows, ids, _matrix(row["data"], row["dim"], len(row["asked"]))[asked]))
                     if sum(len(p[0]) for p in parts) >= most:
-                        yield block(dim, held.pop(dim))
-        for dim, parts in held.items():
-            yield block(dim, parts)
+                        yield from out(row["dim"])
+        for dim in list(held):
+            yield from out(dim)
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), vector_col).where("id is not null").mapInArrow(run, "dim long, ids binary, data binary")
+    found = blocks.mapInArrow(run, "dim long, q_rows binary, q_ids binary, q_data binary")
+    return found.select(F.sha2("q_rows", 256).alias("q_block"), "*")
 
 
 def _matrix(data: bytes, dim: int, n: int) -> np.ndarray:
@@ -104,17 +140,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _local_lists(k: int, segments: int):
     """Phase 1 on one pair of blocks."""
 
-    def run(q_ids, q, x_ids, x, _):
+    def run(q_rows, q, x_rows, x_ids, x, _):
         parts = np.stack(list(_partials(q, x, segments)))
-        for i, q_id in enumerate(q_ids):
-            others = np.flatnonzero(x_ids != q_id)
+        for i, q_row in enumerate(q_rows):
+            others = np.flatnonzero(x_rows != q_row)
             if not len(others):
                 continue
             own = parts[:, i, others]
             top = np.unique(np.concatenate([_best(p, x_ids[others], k) for p in own]))
             scores = own[:, top].sum(0)
             best = top[_best(scores, x_ids[others][top], k)]
-            yield q_id, x_ids[others][best], own[:, best].sum(0)
+            yield i, x_ids[others][best], own[:, best].sum(0)
 
     return run
 
@@ -122,14 +158,14 @@ def _local_lists(k: int, segments: int):
 def _sufficient(k: int, segments: int):
     """Phases 2 and 3 on one pair of blocks."""
 
-    def run(q_ids, q, x_ids, x, cutoffs):
+    def run(q_rows, q, x_rows, x_ids, x, cutoffs):
         parts = list(_partials(q, x, segments))
         # some partial score is at least the mean, rounded up as all are integers; the least integer can not be negated
         floor = cutoffs // segments + (cutoffs % segments > 0)
         some = np.zeros(parts[0].shape, bool)
         for p in parts:
             some |= p >= floor[:, None]
-        some &= q_ids[:, None] != x_ids[None, :]
+        some &= q_rows[:, None] != x_rows[None, :]
         i, j = np.nonzero(some)
         scores = parts[0][i, j]
         for p in parts[1:]:
@@ -139,25 +175,25 @@ def _sufficient(k: int, segments: int):
         for own in np.unique(i):
             mine = np.flatnonzero(i == own)
             best = mine[_best(scores[mine], x_ids[j[mine]], k)]
-            yield q_ids[own], x_ids[j[best]], scores[best]
+            yield own, x_ids[j[best]], scores[best]
 
     return run
 
 
 def _paired(pairs: DataFrame, work) -> DataFrame:
-    """Rows (query_id, vec_id, score) of ``work`` on each pair of blocks."""
+    """Rows (q_row, query_id, vec_id, score) of ``work`` on each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, x_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                q_rows, q_ids, x_rows, x_ids = (np.frombuffer(row[c], np.int64) for c in ("q_rows", "q_ids", "rows", "ids"))
                 cutoffs = np.frombuffer(row["cutoffs"], np.int64) if row.get("cutoffs") is not None else None
-                found = list(work(q_ids, _matrix(row["q_data"], row["dim"], len(q_ids)), x_ids, _matrix(row["data"], row["dim"], len(x_ids)), cutoffs))
-                q, v, s = [np.repeat([f[0] for f in found], [len(f[1]) for f in found])] if found else [np.zeros(0, np.int64)], [f[1] for f in found], [f[2] for f in found]
-                out = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (q, v, s)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
+                found = list(work(q_rows, _matrix(row["q_data"], row["dim"], len(q_rows)), x_rows, x_ids, _matrix(row["data"], row["dim"], len(x_rows)), cutoffs))
+                q = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+                v, s = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[q], q_ids[q], v, s)], names=["q_row", "query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "q_row long, query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -165,44 +201,46 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     entry, then among the shares' best."""
     best_first = (F.desc("score"), F.asc("vec_id"))
     share = F.pmod(F.xxhash64("vec_id"), F.lit(16))
-    some = found.withColumn("t_n", F.row_number().over(Window.partitionBy("query_id", share).orderBy(*best_first))).where(F.col("t_n") <= k).drop("t_n")
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))).where(F.col("rank") <= k)
+    some = found.withColumn("t_n", F.row_number().over(Window.partitionBy("q_row", share).orderBy(*best_first))).where(F.col("t_n") <= k).drop("t_n")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy(*best_first))).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", segments: int = SEGMENTS, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): for each row of ``vectors`` where ``is_query`` holds the k best of all rows of other ids."""
-    blocks = settle(packed(vectors, id_col, vector_col, rows))
-    asked = settle(packed(vectors.where(is_query).repartition(F.xxhash64(id_col)), id_col, vector_col, queries))
-    asked = settle(asked.select(F.sha2(F.concat("ids", "data"), 256).alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
+    """Rows (query_id, rank, vec_id, score): for each row of ``vectors`` where ``is_query`` holds the k best of all other rows."""
+    own = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asked"), F.col(vector_col).alias("vector"))
+    blocks = settle(packed(own.where("id is not null"), rows))
+    asked = settle(_queries(blocks.select("dim", "rows", "ids", "asked", "data"), queries))
     # A block of queries goes to every share of the blocks of rows, and there meets each block of vectors of its length once.
-    shares = max(1, min(blocks.count(), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = blocks.withColumn("t_share", F.pmod(F.xxhash64("ids"), F.lit(shares)))
+    n_blocks = blocks.count()
+    shares = max(1, min(n_blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = max(1, n_blocks // FIRST)
+    number = F.xxhash64("rows")
+    blocks = blocks.select("dim", "rows", "ids", "data", F.pmod(number, F.lit(shares)).alias("t_share"), F.pmod(F.shiftright(number, 20), F.lit(FIRST)).alias("t_first"))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("t_share")
-    pairs = blocks.join(asked.select("*", spread), ["dim", "t_share"])
-    first = _ranked(_paired(pairs, _local_lists(k, segments)), k)
-    cutoffs = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    least = -(1 << 63)
-    cutoffs = settle(cutoffs.select("query_id", F.when(F.col("n") < k, F.lit(least)).otherwise(F.col("low")).alias("cutoff")))
-    with_cutoffs = settle(_with_cutoffs(asked, cutoffs))
+    few = blocks.where(F.col("t_first") == 0) if some > 1 else blocks
+    first = _ranked(_paired(few.join(asked.select("*", spread), ["dim", "t_share"]), _local_lists(k, segments)), k)
+    cutoffs = first.groupBy("q_row").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("q_row", F.col("low").alias("cutoff"))
+    with_cutoffs = settle(_with_cutoffs(asked, settle(cutoffs)))
     found = _paired(blocks.join(with_cutoffs.select("*", spread), ["dim", "t_share"]), _sufficient(k, segments))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _with_cutoffs(asked: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Blocks of queries with a cutoff beside each query. A block has a bounded number of queries, which bounds the group."""
+    """Blocks of queries with a cutoff beside each query, the least integer where there is none. A block has a bounded number of queries,
+    which bounds the group."""
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_pydict({"q_block": [block] * len(own), "place": np.arange(len(own), dtype=np.int32), "query_id": own})
+                yield pa.RecordBatch.from_pydict({"q_block": [block] * len(own), "place": np.arange(len(own), dtype=np.int32), "q_row": own})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed_ = [np.array([c["cutoff"] for c in sorted(cs, key=lambda c: c["place"])], np.int64).tobytes() for cs in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"q_block": batch.column(0), "cutoffs": packed_})
 
-    places = asked.select("q_block", "q_ids").mapInArrow(ids, "q_block string, place int, query_id long")
-    known = places.join(cutoffs, "query_id", "left").select("q_block", F.struct("place", F.coalesce("cutoff", F.lit(-(1 << 63))).alias("cutoff")).alias("c"))
+    places = asked.select("q_block", "q_rows").mapInArrow(rows, "q_block string, place int, q_row long")
+    known = places.join(cutoffs, "q_row", "left").select("q_block", F.struct("place", F.coalesce("cutoff", F.lit(-(1 << 63))).alias("cutoff")).alias("c"))
     lists = known.groupBy("q_block").agg(F.collect_list("c").alias("cs")).mapInArrow(pack, "q_block string, cutoffs binary")
     return asked.join(lists, "q_block")
