@@ -9,12 +9,13 @@ The comparison builds a suffix array of the stretches side by side, in document
 there and the longest previous factor, cut at ``length``, is full exactly for windows that have one. Those are later copies; the windows
 they lead back to are the first ones. ``keep="first"`` removes later copies, ``keep="none"`` the first ones too.
 
-Where more than ``most`` bytes of different stretches share a hash value, they are dealt again by another hash function, and after
-``LEVELS`` times window by window; nothing is dropped.
+Where more than MANY different stretches, or ``most`` bytes of them, share a hash value, they are dealt again by another hash function, those that
+are known to be so many before they are moved, and after ``LEVELS`` times window by window; nothing is dropped.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; matches never cross documents, and may overlap, in
 one document too; rows that are equal in id and text are copies of each other under ``keep="none"`` and one document under
-``keep="first"``; null ids are ids; ids may stand for several texts. Columns besides id and text are left out.
+``keep="first"``; null ids are ids; ids may stand for several texts; texts of any length are taken in whole; an empty table gives an empty
+result. Columns besides id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LENGTH, KMER = 400, 32
 #: Bytes that are scanned, and bytes of stretches that are sorted, at a time.
 SCANNED, MOST = 1 << 20, 6 << 20
 LEVELS = 3
+#: Different stretches of one hash value that stay together.
+MANY = 512
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -162,26 +165,44 @@ def _found(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Rows (value, content, base, text): the bytes of the wanted stretches. wanted: (key, value, content, start, windows)."""
-    lists = wanted.groupBy(F.col("key").alias("w_key")).agg(F.collect_list(F.struct("value", "content", "start", "windows")).alias("wanted"))
+def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
+    """Rows (value, content, base, text, heavy): the bytes of the wanted stretches, dealt anew where they are heavy.
+    wanted: (key, value, content, start, windows, heavy)."""
+    lists = wanted.groupBy(F.col("key").alias("w_key")).agg(F.collect_list(F.struct("value", "content", "start", "windows", "heavy")).alias("wanted"))
     joined = docs.join(lists, F.col("key") == F.col("w_key")).select("data", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "data", SCANNED):
-            rows = [(w["value"], w["content"], 0, data[w["start"] : w["start"] + w["windows"] + length - 1]) for data, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in ws]
-            yield _rows(rows)
+            rows = []
+            for data, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in ws:
+                    text = data[w["start"] : w["start"] + w["windows"] + length - 1]
+                    if w["heavy"]:
+                        rows += [(v, w["content"], at, piece, True) for v, at, piece in _dealt(w["value"], text, 1, length, k)]
+                    else:
+                        rows.append((w["value"], w["content"], 0, text, False))
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()))], names=["value", "content", "base", "text", "heavy"])
+
+    return joined.mapInArrow(run, "value long, content binary, base int, text binary, heavy boolean")
 
-    return joined.mapInArrow(run, "value long, content binary, base int, text binary")
 
+def _dealt(value: int, text: bytes, level: int, length: int, k: int) -> Iterator[tuple[int, int, bytes]]:
+    """(value, place, text) of the stretches of a stretch by the hash function of ``level``, single windows beyond LEVELS."""
+    from xxhash import xxh3_64_intdigest
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[], [], [], []]
-    kinds = {"value": pa.int64(), "content": pa.binary(), "base": pa.int32(), "text": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+    if level <= LEVELS:
+        data = np.frombuffer(text, np.uint8)
+        values, _, starts, counts, _ = stretches(data, np.array([len(data)]), length, k, level)
+    else:
+        n = len(text) - length + 1
+        values, starts, counts = [xxh3_64_intdigest(text[i : i + length]) >> 1 for i in range(n)], np.arange(n), np.ones(n, np.int64)
+    for v, s, c in zip(values, starts.tolist(), counts.tolist()):
+        mixed = xxh3_64_intdigest(value.to_bytes(8, "little") + int(v).to_bytes(8, "little")) >> 1
+        yield mixed, s, text[s : s + c + length - 1]
 
 
-def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, first: bool) -> DataFrame:
+def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, many: int, first: bool) -> DataFrame:
     """From (value, content, base, text, place): rows (content, low, high), ranges of windows to remove; and rows with value and text,
     stretches dealt anew. place orders the stretches of a value by document."""
     schema = "content binary, low int, high int, value long, base int, text binary, place binary"
@@ -193,20 +214,7 @@ def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, first
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["content", "low", "high", "value", "base", "text", "place"])
 
     def dealt(value: int, group: list[tuple]) -> list[tuple]:
-        from xxhash import xxh3_64_intdigest
-
-        anew = []
-        for content, base, text, place in group:
-            if level < LEVELS:
-                data = np.frombuffer(text, np.uint8)
-                values, _, starts, counts, _ = stretches(data, np.array([len(data)]), length, k, level + 1)
-            else:
-                n = len(text) - length + 1
-                values, starts, counts = [xxh3_64_intdigest(text[i : i + length]) >> 1 for i in range(n)], np.arange(n), np.ones(n, np.int64)
-            for v, s, c in zip(values, starts.tolist(), counts.tolist()):
-                mixed = xxh3_64_intdigest(value.to_bytes(8, "little") + int(v).to_bytes(8, "little")) >> 1
-                anew.append((mixed, content, base + s, text[s : s + c + length - 1], place))
-        return anew
+        return [(v, content, base + at, piece, place) for content, base, text, place in group for v, at, piece in _dealt(value, text, level + 1, length, k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, size, over = None, [], 0, False
@@ -235,7 +243,7 @@ def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, first
                     now, group, size, over = value, [], 0, False
                 group.append((content, base, text, place))
                 size += len(text)
-                if size > most:
+                if size > most or len(group) > many:
                     anew += dealt(now, group)
                     group, size, over = [], 0, True
                     if len(anew) > 1000:
@@ -252,22 +260,26 @@ def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, first
     return ordered.mapInArrow(run, schema)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", most: int = MOST) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", most: int = MOST, many: int = MANY) -> DataFrame:
     """From (id, key, data): rows (key, spans ARRAY<STRUCT<from, to>>) of what to remove, as collected, for texts that lose something."""
     first = keep == "first"
     found = settle(_found(docs, length, k))
     occurrence = F.struct("id", "key", "start", "windows")
     kinds = settle(found.groupBy("value", "content").agg(F.count("*").alias("n"), F.min(occurrence).alias("first"), F.max("twice").alias("twice")))
-    shared = kinds.groupBy("value").agg(F.count("*").alias("n_kinds"), F.max("twice").alias("any_twice")).where("n_kinds > 1 or any_twice").select(F.col("value").alias("s_value"))
-    wanted = kinds.join(shared, F.col("value") == F.col("s_value")).select("value", "content", "first")
-    cut = _cut(docs, wanted.select("first.key", "value", "content", "first.start", "first.windows"), length)
+    size = F.sum(F.col("first.windows") + F.lit(length - 1))
+    shared = kinds.groupBy("value").agg(F.count("*").alias("n_kinds"), F.max("twice").alias("any_twice"), size.alias("n_bytes")).where("n_kinds > 1 or any_twice")
+    shared = shared.select(F.col("value").alias("s_value"), ((F.col("n_kinds") > many) | (F.col("n_bytes") > most)).alias("heavy"))
+    wanted = kinds.join(shared, F.col("value") == F.col("s_value")).select("value", "content", "first", "heavy")
+    cut = settle(_cut(docs, wanted.select("first.key", "value", "content", "first.start", "first.windows", "heavy"), length, k))
     # Documents come in the order of their ids; the place only has to order them, for keep="first".
-    place = wanted.select(F.col("content").alias("p_content"), F.col("value").alias("p_value"), F.col("first.id").alias("p_id"), F.col("first.key").alias("p_key"), F.col("first.start").alias("p_start"))
+    place = wanted.select(F.col("content").alias("p_content"), F.col("first.id").alias("p_id"), F.col("first.key").alias("p_key"), F.col("first.start").alias("p_start"))
     if first:
         keyed = F.concat(F.unhex(F.lpad(F.hex(F.coalesce(F.col("p_id").cast("long"), F.lit(0)) + F.lit(1 << 62)), 16, "0")), F.col("p_key"), F.unhex(F.lpad(F.hex("p_start"), 8, "0")))
-        rows = cut.join(place, (F.col("content") == F.col("p_content")) & (F.col("value") == F.col("p_value"))).select("value", "content", "base", "text", keyed.alias("place"))
+        placed = cut.join(place, F.col("content") == F.col("p_content")).select("value", "content", "base", "text", keyed.alias("place"), "heavy")
     else:
-        rows = cut.select("value", "content", "base", "text", F.lit(b"").alias("place"))
+        placed = cut.select("value", "content", "base", "text", F.lit(b"").alias("place"), "heavy")
+    rows, heavy = placed.where("not heavy").drop("heavy"), placed.where("heavy").drop("heavy")
+    heavy = None if heavy.isEmpty() else heavy
     ranges, level = None, 0
     while rows is not None:
         if level > LEVELS:  # single windows: those that stand twice, counted before the shuffle
@@ -276,11 +288,13 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "non
             new = rows.join(same, (F.col("value") == F.col("v")) & (F.col("text") == F.col("t"))).where(later).select("content", F.col("base").alias("low"), F.col("base").alias("high"))
             ranges = ranges.union(new)
             break
-        compared = settle(_compared(rows, length, k, level, most, first))
+        compared = settle(_compared(rows, length, k, level, most, many, first))
         new = compared.where("low is not null").select("content", "low", "high")
         ranges = new if ranges is None else ranges.union(new)
         rows = compared.where("text is not null").select("value", "content", "base", "text", "place")
         rows, level = (None if rows.isEmpty() else rows), level + 1
+        if level == 1 and heavy is not None:  # what was dealt by the first of the other hash functions before it was moved
+            rows = heavy if rows is None else rows.union(heavy)
     whole = kinds.where("n > 1").select("content", F.col("first").alias("w_first"))
     own = [F.col("id"), F.col("key"), F.col("start"), F.col("windows")]
     here = F.struct(*own)
@@ -299,14 +313,14 @@ def _merged(spans_: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", most: int = MOST, many: int = MANY) -> DataFrame:
     """Rows (id_col, n_bytes, spans ARRAY<STRUCT<from, to>>, kept BINARY), one for each row of ``docs``: the maximal runs of removed bytes,
     and what remains. ``keep="first"`` takes integer ids."""
     if keep not in ("none", "first") or not 0 < k <= length:
         raise ValueError("keep is none or first, and k at most length")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")).cast("binary"), F.lit(b"\0"), data))).alias("key"), data.alias("data"))
-    lost = spans(keyed, length, k, keep, most).withColumnRenamed("key", "l_key")
+    lost = spans(keyed, length, k, keep, most, many).withColumnRenamed("key", "l_key")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
