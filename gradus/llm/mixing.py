@@ -1,13 +1,14 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each row gets a random key from the hash of its id. The key's leading bits deal the rows of a source into equal ranges, so that the order
-(source, key) is a range sort whose bounds are known beforehand: a source with a third of all rows spreads over ``ranges`` groups. The
-prefix sum of the sizes is distributed: sums by range, a running sum over those few sums, a running sum inside each range. A source whose
-budget is ``e`` times its size and a rest takes every row ``e`` times and, in key order, once more the rows of which at least half lies
-before the cut.
+Each row gets a random key, the MD5 of seed, id and text. The key's leading digits deal the rows of a source into equal ranges, so that the
+order (source, key) is a range sort whose bounds are known beforehand: a source with a third of all rows spreads over ``ranges`` groups, and
+so do rows without an id. The prefix sum of the sizes is distributed: sums by range, a running sum over those few sums, a running sum
+inside each range. A source whose budget is ``e`` times its size and a rest takes every row ``e`` times and, in key order, once more the words
+before the cut, which falls at the exact budget: the row that it falls in is taken in part.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; equal rows are dealt one by one
-(ties of the key go by id, then size); a null id is hashed like any value; an empty table gives an empty result.
+(they share key and size, so that it does not matter which is which); an empty table gives an empty result; texts of any length count in whole;
+other columns are not looked at, whatever their names. A budget is cut to whole words.
 """
 
 from __future__ import annotations
@@ -51,12 +52,13 @@ def budgets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
         share: float = 1.5, most: float = 2.0, ranges: int = 256, seed: int = 17) -> DataFrame:
-    """Rows (id_col, size, source_size, target, copies, taken, mix_key): ``copies`` times the row stands in the mix, ``taken`` words in all.
-    ``mix_key`` tells equal ids apart together with the id. Reruns agree: nothing depends on how rows are dealt to tasks."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+    """Rows (id_col, size, source_size, target, copies, taken, mix_key): the mix takes ``taken`` words of the row; ``copies`` are the whole copies that
+    come nearest to that: the row in which the cut falls counts once more if half of it is taken. ``mix_key`` tells equal ids apart together with
+    the id. Reruns agree: nothing depends on how rows are dealt to tasks."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     slim = docs.select(
         F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), words(F.col(text_col)).alias("m_size"), key.alias("m_key")
-    ).withColumn("m_range", F.pmod(F.shiftrightunsigned("m_key", 40), F.lit(1 << 24)) * ranges / (1 << 24)).withColumn("m_range", F.floor("m_range").cast("int"))
+    ).withColumn("m_range", F.floor(F.conv(F.substring("m_key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int"))
     by_range = slim.groupBy("m_source", "m_range").agg(F.sum("m_size").alias("m_sum"))
     before = Window.partitionBy("m_source").orderBy("m_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.withColumn("m_offset", F.coalesce(F.sum("m_sum").over(before), F.lit(0)))
@@ -69,17 +71,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         p, F.col("m_source").eqNullSafe(F.col("p_source")) & (F.col("m_range") == F.col("p_range"))
     )
     whole = F.when(F.col("m_source_size") > 0, F.floor(F.col("m_target") / F.col("m_source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("m_target") - whole * F.col("m_source_size")
-    again = F.when((F.col("m_size") > 0) & (F.col("m_offset") + F.col("m_before") + F.col("m_size") / 2 <= rest), 1).otherwise(0)
-    copies = F.when(F.col("m_size") > 0, whole + again).otherwise(F.lit(0)).cast("long")
+    rest = F.floor(F.col("m_target") - whole * F.col("m_source_size")).cast("long")
+    part = F.greatest(F.least(rest - F.col("m_offset") - F.col("m_before"), F.col("m_size")), F.lit(0))
+    copies = F.when(F.col("m_size") > 0, whole + F.when(2 * part >= F.col("m_size"), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
     return placed.select(
         F.col("m_id").alias(id_col), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"),
-        copies.alias("copies"), (copies * F.col("m_size")).alias("taken"), F.col("m_key").alias("mix_key"),
+        copies.alias("copies"), (whole * F.col("m_size") + part).alias("taken"), F.col("m_key").alias("mix_key"),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``. Rows of size 0 take no words and are not in the
+    """The rows of ``docs``, whole, each as often as ``copies`` says, with the columns of ``docs``. Rows of size 0 take no words and are not in the
     mix. Rows are told by id, source and text, and equal ones by a number among them."""
     told = F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(text_col).alias("t"))))
     number = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
