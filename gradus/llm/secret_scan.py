@@ -4,10 +4,11 @@ Every rule's regular expression gives a Boolean trigram query: an AND of ORs of
 keeps a posting (trigram, document) for the trigrams that some query names. Postings are intersected by document, the queries decided on
 what a document has, and the rules that pass are verified on the whole text. Rules without a mandatory trigram scan every text.
 
-Defined results: a private key without an END line is taken for 400 lines at most; a null text is empty and has no spans; rows are scanned one by one, so equal rows get equal results, also where ids
-repeat or are null; positions are code points, ends exclusive; matches of a rule are leftmost and do not overlap; spans of different rules
-may overlap and are all given, by start, then in the rules' order. Columns of the input besides id and text are kept as they are,
-but for one called spans.
+Defined results: a private key without an END line is taken for 400 lines at most; a null text is empty and has no spans; texts of any
+length are scanned in whole; rows are scanned one by one, so equal rows get equal results, also where ids repeat; rows without an id are
+scanned by every rule; positions are code points, ends exclusive; matches of a rule are leftmost and do not overlap; spans of different
+rules may overlap and are all given, by start, then in the rules' order; an empty table gives an empty result. Columns of the input
+besides id and text are kept as they are, but for one called spans.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm.store import settle
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -161,9 +164,11 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
     named = docs
     kinds = F.array().cast("array<string>")
     if trigrams:
-        found = candidates(index(docs, trigrams, id_col, text_col), indexed, id_col).select(F.col(id_col).alias("s_id"), F.col("kinds").alias("s_kinds"))
-        named = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["s_id"]), "left")
-        kinds = F.coalesce(F.col("s_kinds"), kinds)
+        # The candidates are a small table as a rule; Spark broadcasts it if its size allows, else both sides are dealt by id.
+        told = index(docs.where(F.col(id_col).isNotNull()), trigrams, id_col, text_col)
+        found = settle(candidates(told, indexed, id_col).select(F.col(id_col).alias("s_id"), F.col("kinds").alias("s_kinds")))
+        named = docs.join(found, docs[id_col] == found["s_id"], "left")
+        kinds = F.when(docs[id_col].isNull(), F.array(*[F.lit(k) for k in indexed])).otherwise(F.coalesce(F.col("s_kinds"), kinds))
     text = F.coalesce(docs[text_col], F.lit(""))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     each = []
