@@ -163,7 +163,7 @@ def fit_ordinal(of: np.ndarray, feature: np.ndarray, value: np.ndarray, grades:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of ``grade`` (0 to n_grades - 1, of the columns of ``labels``) from ``rows`` labelled texts at most."""
+    """A model of ``grade`` (0 to n_grades - 1, of the columns of ``labels``) from ``rows`` labelled texts at most, whatever stands for an id."""
     chosen = labels.select(F.col(id_col).alias("q_id"), grade.cast("int").alias("q_grade")).where("q_id is not null and q_grade is not null")
     chosen = chosen.orderBy(F.xxhash64("q_id"), "q_id", "q_grade").limit(rows)
     texts = docs.select(F.col(id_col).alias("q_doc"), F.col(text_col).alias("q_text")).join(F.broadcast(chosen), F.col("q_doc") == F.col("q_id")).select("q_id", "q_grade", "q_text")
@@ -194,7 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
         model = fit_ordinal(of, feature[places], value[places], good, n_grades)
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((model.weights, model.thresholds))]})
 
-    found = texts.mapInArrow(featured, "id long, grade int, feature array<int>, value array<float>").repartition(1).mapInArrow(fitted, "model binary").collect()
+    # an id may stand for any number of texts, so the bound holds again after the join
+    bounded = texts.mapInArrow(featured, "id long, grade int, feature array<int>, value array<float>").orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("feature", "value")).limit(rows)
+    found = bounded.coalesce(1).mapInArrow(fitted, "model binary").collect()
     return Model(*pickle.loads(found[0].model))
 
 
