@@ -93,3 +93,78 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_classifier, op7_substring_chaining, op8_source_mix, op9_secret_scan, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
+
+_SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op3_exact_top_k"] = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+# The template's marks take 23 characters a turn; a backslash is written twice, a control string gets one.
+SQL["op4_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *, len(regexp_extract_all(s, '<\||</?s>|<</?SYS>>|\[/?INST\]')) + length(s) - length(replace(s, '\', '')) + length(s) AS written
+  FROM (SELECT *, role || chr(0) || text AS s FROM turns)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(written - 1 + 23) AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+# Sources fill up in order of size by weight; the rest share what is left. A source's whole copies and the words before its cut are taken.
+SQL["op8_source_mix"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || coalesce(text, '')) AS k FROM documents
+), sources AS (
+  SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS LAST) AS n
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)
+), filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS here
+  FROM sources WINDOW before AS (ORDER BY source_size / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (SELECT arg_min(here, 2 * source_size / w) AS level FROM filled WHERE 2 * source_size / w >= here),
+targets AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(level, 'inf'::DOUBLE) * w) AS target FROM filled, level),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM sized
+), counted AS (
+  SELECT p.doc_id, p.size, t.source_size, t.target, p.earlier, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(least(floor(target - whole * source_size) - earlier, size), 0) AS BIGINT) AS taken FROM counted
+"""
+
+# One row for each word and each line of a text; words in windows that stand twice or more are counted by their places.
+SQL["op10_quality_rules"] = rf"""
+WITH own AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT n, {_WORDS} AS w FROM own),
+windows AS (
+  SELECT n, i, w[i : i + 2] AS three, count(*) OVER (PARTITION BY n, w[i : i + 2]) AS held
+  FROM (SELECT n, w, unnest(generate_series(1, len(w) - 2)) AS i FROM listed WHERE len(w) > 2)
+), repeats AS (
+  SELECT n, count(DISTINCT place) AS n_repeat_words FROM (SELECT n, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE held > 1) GROUP BY n
+), line AS (SELECT n, unnest(string_split(text, chr(10))) AS line FROM own),
+lines AS (SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE trim(line, {_SPACES}) <> '' GROUP BY n),
+measured AS (
+  SELECT own.doc_id, CAST(len(listed.w) AS BIGINT) AS n_words, CAST(length(translate(own.text, {_SPACES}, '')) AS BIGINT) AS word_chars,
+    CAST(length(own.text) - length(translate(own.text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeats.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n_lines, 0) AS n_lines,
+    CASE WHEN upper(own.text) = own.text THEN len(regexp_extract_all(own.text, '\p{{Lu}}')) ELSE 0 END AS n_capitals
+  FROM own JOIN listed USING (n) LEFT JOIN repeats USING (n) LEFT JOIN lines USING (n)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > greatest(n_lines, 1)
+    OR NOT (2 * n_words <= word_chars AND word_chars <= 20 * n_words) OR 2 * n_capitals > word_chars) AS kept
+FROM measured
+"""
