@@ -9,8 +9,8 @@ The comparison builds a suffix array of the stretches side by side, in document
 there and the longest previous factor, cut at ``length``, is full exactly for windows that have one. Those are later copies; the windows
 they lead back to are the first ones. ``keep="first"`` removes later copies, ``keep="none"`` the first ones too.
 
-Where more than MANY different stretches, or ``most`` bytes of them, share a hash value, they are dealt again by another hash function, those that
-are known to be so many before they are moved, and after ``LEVELS`` times window by window; nothing is dropped.
+Where more than ``most`` bytes of different stretches share a hash value, they are dealt again by another hash function, those that are counted
+beforehand before they are moved, and after ``LEVELS`` times window by window; nothing is dropped.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; matches never cross documents, and may overlap, in
 one document too; rows that are equal in id and text are copies of each other under ``keep="none"`` and one document under
@@ -35,8 +35,6 @@ LENGTH, KMER = 400, 32
 #: Bytes that are scanned, and bytes of stretches that are sorted, at a time.
 SCANNED, MOST = 1 << 20, 6 << 20
 LEVELS = 3
-#: Different stretches of one hash value that stay together.
-MANY = 512
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -202,7 +200,7 @@ def _dealt(value: int, text: bytes, level: int, length: int, k: int) -> Iterator
         yield mixed, s, text[s : s + c + length - 1]
 
 
-def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, many: int, first: bool) -> DataFrame:
+def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, first: bool) -> DataFrame:
     """From (value, content, base, text, place): rows (content, low, high), ranges of windows to remove; and rows with value and text,
     stretches dealt anew. place orders the stretches of a value by document."""
     schema = "content binary, low int, high int, value long, base int, text binary, place binary"
@@ -243,7 +241,7 @@ def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, many:
                     now, group, size, over = value, [], 0, False
                 group.append((content, base, text, place))
                 size += len(text)
-                if size > most or len(group) > many:
+                if size > most:
                     anew += dealt(now, group)
                     group, size, over = [], 0, True
                     if len(anew) > 1000:
@@ -260,7 +258,7 @@ def _compared(rows: DataFrame, length: int, k: int, level: int, most: int, many:
     return ordered.mapInArrow(run, schema)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", most: int = MOST, many: int = MANY) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", most: int = MOST) -> DataFrame:
     """From (id, key, data): rows (key, spans ARRAY<STRUCT<from, to>>) of what to remove, as collected, for texts that lose something."""
     first = keep == "first"
     found = settle(_found(docs, length, k))
@@ -268,7 +266,7 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "non
     kinds = settle(found.groupBy("value", "content").agg(F.count("*").alias("n"), F.min(occurrence).alias("first"), F.max("twice").alias("twice")))
     size = F.sum(F.col("first.windows") + F.lit(length - 1))
     shared = kinds.groupBy("value").agg(F.count("*").alias("n_kinds"), F.max("twice").alias("any_twice"), size.alias("n_bytes")).where("n_kinds > 1 or any_twice")
-    shared = shared.select(F.col("value").alias("s_value"), ((F.col("n_kinds") > many) | (F.col("n_bytes") > most)).alias("heavy"))
+    shared = shared.select(F.col("value").alias("s_value"), (F.col("n_bytes") > most).alias("heavy"))
     wanted = kinds.join(shared, F.col("value") == F.col("s_value")).select("value", "content", "first", "heavy")
     cut = settle(_cut(docs, wanted.select("first.key", "value", "content", "first.start", "first.windows", "heavy"), length, k))
     # Documents come in the order of their ids; the place only has to order them, for keep="first".
@@ -288,7 +286,7 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "non
             new = rows.join(same, (F.col("value") == F.col("v")) & (F.col("text") == F.col("t"))).where(later).select("content", F.col("base").alias("low"), F.col("base").alias("high"))
             ranges = ranges.union(new)
             break
-        compared = settle(_compared(rows, length, k, level, most, many, first))
+        compared = settle(_compared(rows, length, k, level, most, first))
         new = compared.where("low is not null").select("content", "low", "high")
         ranges = new if ranges is None else ranges.union(new)
         rows = compared.where("text is not null").select("value", "content", "base", "text", "place")
@@ -313,14 +311,14 @@ def _merged(spans_: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", most: int = MOST, many: int = MANY) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """Rows (id_col, n_bytes, spans ARRAY<STRUCT<from, to>>, kept BINARY), one for each row of ``docs``: the maximal runs of removed bytes,
     and what remains. ``keep="first"`` takes integer ids."""
     if keep not in ("none", "first") or not 0 < k <= length:
         raise ValueError("keep is none or first, and k at most length")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")).cast("binary"), F.lit(b"\0"), data))).alias("key"), data.alias("data"))
-    lost = spans(keyed, length, k, keep, most, many).withColumnRenamed("key", "l_key")
+    lost = spans(keyed, length, k, keep, most).withColumnRenamed("key", "l_key")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
