@@ -66,17 +66,19 @@ def text_choice(rows: DataFrame, candidates: DataFrame, row_id: str, answer: str
     return rows.join(wrong, F.col(row_id) == F.col("t_id")).withColumn("texts", texts).withColumn("place", F.array_position("texts", F.col(answer)).cast("int")).drop("t_id", "t_wrong")
 
 
-def bounded_candidates(rows: DataFrame, pool: DataFrame, row_id: str, key: str, pool_id: str, candidate: str, shares: int = 16, reach: int = 24) -> DataFrame:
-    """Pairs (row_id, candidate) of rows and pool entries with the same ``key``: not all of them, but for each row the ``reach`` entries that
-    follow its own place in the key's seeded order, in a circle. A key is cut into ``shares`` circles by a hash, so that a key with a third
-    of all rows is spread; pairs grow with the rows, not with their square."""
-    share = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(shares))
-    around = Window.partitionBy(key, "b_share").orderBy("b_h", pool_id)
-    placed = pool.select(key, F.col(pool_id), F.col(candidate), share(F.col(pool_id)).alias("b_share"), row.sha1(F.col(pool_id).cast("string")).alias("b_h"))
-    placed = placed.withColumn("b_at", F.row_number().over(around)).withColumn("b_n", F.count("*").over(Window.partitionBy(key, "b_share")))
-    mine = rows.select(F.col(row_id), F.col(key).alias("b_key"), share(F.col(row_id)).alias("b_mine"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("b_step"))
+def bounded_candidates(rows: DataFrame, pool: DataFrame, row_id: str, key: str, pool_id: str, candidate: str, circle: int = 1000, reach: int = 24) -> DataFrame:
+    """Pairs (row_id, from_id, candidate) of rows and pool entries with the same ``key``: not all of them, but for each row the ``reach`` entries
+    that follow a place of its own in the key's seeded order, in a circle, or all if there are fewer. A key with more than ``circle``
+    entries is dealt to as many circles as that asks for, by a hash, so that a key with a third of all rows is spread; pairs grow with the
+    rows, not with their square. Every key that has entries gives some to each of its rows."""
+    number = lambda c: F.conv(F.substring(row.sha1(c), 1, 15), 16, 10).cast("long")
+    shares = pool.groupBy(F.col(key).alias("s_key")).agg(F.ceil(F.count("*") / circle).cast("long").alias("b_shares"))
+    placed = pool.select(key, pool_id, candidate).join(shares, F.col(key) == F.col("s_key")).withColumns({"b_share": F.pmod(number(F.col(pool_id).cast("string")), F.col("b_shares")), "b_h": row.sha1(F.col(pool_id).cast("string"))})
+    placed = placed.withColumn("b_at", F.row_number().over(Window.partitionBy(key, "b_share").orderBy("b_h", pool_id)) - 1)
     sizes = placed.groupBy(F.col(key).alias("z_key"), F.col("b_share").alias("z_share")).agg(F.count("*").alias("z_n"))
-    mine = mine.join(sizes, (F.col("b_key") == F.col("z_key")) & (F.col("b_mine") == F.col("z_share"))).where(F.col("b_step") <= F.col("z_n"))
-    at = F.pmod(F.pmod(F.xxhash64(F.col(row_id).cast("string"), F.lit(1)), F.col("z_n")) + F.col("b_step"), F.col("z_n")) + 1
-    mine = mine.withColumn("b_want", at)
+    mine = rows.select(F.col(row_id), F.col(key).alias("b_key")).join(shares, F.col("b_key") == F.col("s_key")).withColumn("b_mine", F.pmod(number(F.col(row_id).cast("string")), F.col("b_shares")))
+    mine = mine.join(sizes, (F.col("b_key") == F.col("z_key")) & (F.col("b_mine") == F.col("z_share")))
+    step = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(reach).cast("long"), F.col("z_n"))))
+    start = F.pmod(number(F.concat(F.col(row_id).cast("string"), F.lit(":at"))), F.col("z_n"))
+    mine = mine.select(row_id, "b_key", "b_mine", "z_n", start.alias("b_start"), step.alias("b_step")).withColumn("b_want", F.pmod(F.col("b_start") + F.col("b_step"), F.col("z_n")))
     return mine.join(placed, (F.col("b_key") == F.col(key)) & (F.col("b_mine") == F.col("b_share")) & (F.col("b_want") == F.col("b_at"))).select(row_id, F.col(pool_id).alias("from_id"), candidate)

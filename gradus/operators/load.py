@@ -25,8 +25,8 @@ def weights(samples: DataFrame, alpha: float = 0.5) -> DataFrame:
     return samples.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("weight", F.pow("n", F.lit(alpha)) / F.col("n"))
 
 
-def packed(samples: DataFrame, size: str, budget: int, shards: int = 8) -> DataFrame:
-    """Adds shard and batch: inside a shard rows come by size, and a batch closes where its longest row times its rows would pass
+def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000) -> DataFrame:
+    """Adds shard and batch. There is a shard for every ``rows`` rows, 8 at least. Inside a shard rows come by size, and a batch closes where its longest row times its rows would pass
     ``budget``. Sequential by nature: a fold over a sorted shard, which streams."""
     schema = T.StructType([*samples.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("batch", T.LongType())])
 
@@ -43,8 +43,9 @@ def packed(samples: DataFrame, size: str, budget: int, shards: int = 8) -> DataF
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=schema.names)
 
+    shards = max(8, -(-samples.count() // rows))
     spread = samples.withColumn("shard", F.pmod(F.xxhash64(*samples.columns[:1]), F.lit(shards)).cast("int"))
-    return spread.repartition("shard").sortWithinPartitions("shard", size, *samples.columns[:1]).mapInArrow(fold, schema)
+    return spread.repartition(shards, "shard").sortWithinPartitions("shard", size, *samples.columns[:1]).mapInArrow(fold, schema)
 
 
 def predicted(samples: DataFrame, predict) -> DataFrame:

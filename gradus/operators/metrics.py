@@ -18,7 +18,10 @@ def answered(probs: Column, n: Column) -> Column:
 
 
 def nll(probs: Column, label: Column) -> Column:
-    terms = F.zip_with(probs, label, lambda p, y: F.when(y == 0, 0.0).otherwise(-y * F.ln(F.greatest(p, F.lit(1e-9)))))
+    """Soft negative log likelihood of probabilities that are raised to 1e-9 at least and then add up to 1 again."""
+    raised = F.transform(probs, lambda p: F.greatest(p, F.lit(1e-9)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    terms = F.zip_with(raised, label, lambda p, y: F.when(y == 0, 0.0).otherwise(-y * F.ln(p / total)))
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
@@ -61,7 +64,7 @@ def thresholds(binary: DataFrame, p: str = "p", gold: str = "gold") -> DataFrame
     t = t.withColumns({"fp": F.col("n_up") - F.col("tp"), "fn": F.col("n_pos") - F.col("tp")}).withColumn("tn", F.col("n") - F.col("n_up") - F.col("fn"))
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     t = t.withColumns({"precision": ratio(F.col("tp"), F.col("n_up")), "recall": ratio(F.col("tp"), F.col("n_pos")), "positive_rate": ratio(F.col("n_up"), F.col("n"))})
-    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))  # 0 without a hit, null only where nothing is gold or predicted
     return t.select(F.round(F.col("step") / STEPS, 2).alias("threshold"), "tp", "fp", "fn", "tn", "precision", "recall", f1.alias("f1"), "positive_rate")
 
 

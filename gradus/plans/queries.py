@@ -169,7 +169,7 @@ def c_names(spark, sf_dir):
     """A part's name among names of parts of its brand, drawn from its brand's circles."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     pool = p.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other"))
-    pairs = builders.bounded_candidates(p.withColumn("brand", F.col("p_brand")), pool, "p_partkey", "brand", "other_key", "other")
+    pairs = builders.bounded_candidates(p.withColumn("brand", F.col("p_brand")), pool, "p_partkey", "brand", "other_key", "other").where("from_id <> p_partkey")
     made = builders.text_choice(p, pairs.select("p_partkey", "other"), "p_partkey", "p_name", "other", most=5)
     return made.select("p_partkey", F.size("texts").cast("long").alias("n_texts"), F.element_at("texts", F.col("place")).alias("answer"))
 
@@ -375,8 +375,8 @@ select conv_id, count(*) n_texts, string_agg(v, '|' order by k) texts, cast(min(
     "w_first": "select sha1(text) as content, min(doc_id) doc_id, count(*) n from documents group by 1",
     "x_metrics": _PREDICTED + " select dataset, n, round(accuracy, 6) accuracy, round(nll, 6) nll, round(ece, 6) ece, round(answered, 6) answered from d",
     "x_macro": _PREDICTED + " select case when dataset in ('src0', 'src1', 'src2', 'src3') then 'benchmark_macro' else 'macro' end dataset, cast(sum(n) as bigint) n, round(avg(accuracy), 6) accuracy, round(avg(nll), 6) nll, round(avg(ece), 6) ece from d group by 1",
-    "x_thresholds": _SWEEP + " select round(step / 20, 2) threshold, tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) f1, round((tp + fp) / (tp + fp + fn + tn), 6) positive_rate from r",
-    "x_best_f1": _SWEEP + " select round(step / 20, 2) best_f1_threshold from r where precision is not null order by round(2 * precision * recall / nullif(precision + recall, 0), 6) desc nulls last, step limit 1",
+    "x_thresholds": _SWEEP + " select round(step / 20, 2) threshold, tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1, round((tp + fp) / (tp + fp + fn + tn), 6) positive_rate from r",
+    "x_best_f1": _SWEEP + " select round(step / 20, 2) best_f1_threshold from r order by round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) desc nulls last, step limit 1",
     "x_average_precision": _BINARY + """, g as (select event_type, p, count(*) m, count(*) filter (gold) pos from e where p is not null group by 1, 2), w as (select *, sum(m) over d up, sum(pos) over d tp from g window d as (partition by event_type order by p desc))
 select event_type, cast(sum(m) as bigint) n, cast(sum(pos) as bigint) n_pos, round(sum(pos * tp / up) / nullif(sum(pos), 0), 6) average_precision from w group by 1""",
     "r_leaderboard": _SCORES + """, v as (select *, rank() over (partition by dataset order by accuracy desc) + (count(*) over (partition by dataset, accuracy) - 1) / 2 rk, accuracy = max(accuracy) over (partition by dataset) won from k)
@@ -384,6 +384,10 @@ select benchmark, entry, round(avg(accuracy), 6) macro, round(avg(rk), 6) mean_r
     "r_wide": _SCORES + " select dataset, round(max(accuracy) filter (entry = 'a'), 6) a, round(max(accuracy) filter (entry = 'b'), 6) b, round(max(accuracy) filter (entry = 'c'), 6) c from k group by 1",
     "l_limit": f"select doc_id from documents order by sha1({_CONTENT} || ':' || '{LANG_QUESTION}'), doc_id limit 100",
     "l_weights": "select lang dataset, count(*) n, round(pow(count(*), 0.5) / count(*), 6) weight from documents group by 1",
+    "c_names": """with p as (select p_partkey k, p_brand b, p_name nm, row_number() over (partition by p_brand order by sha1(cast(p_partkey as varchar)), p_partkey) - 1 a, count(*) over (partition by p_brand) n,
+cast('0x' || substr(sha1(p_partkey || ':at'), 1, 15) as bigint) h from part),
+m as (select r.k, r.nm, c.nm other from p r join p c on r.b = c.b and r.k <> c.k and (c.a - r.h % r.n - 1 + r.n) % r.n < 24)
+select k p_partkey, least(5, count(distinct lower(trim(other)))) + 1 n_texts, nm answer from m where trim(other) <> '' and lower(trim(other)) <> lower(trim(nm)) group by k, nm""",
     "s_json": "select event_id, cast(props->>'k' as bigint) k from events",
     "s_page_lang": """select page_id, regexp_extract(html, '<html[^>]*lang=["'']?([a-zA-Z-]+)', 1) lang, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) title from pages""",
 }

@@ -201,3 +201,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert "validation" in capsys.readouterr().out
     n = {r.split: r.n for r in tables.manifest(spark, f"{tmp_path}/out").collect()}
     assert n["train"] == 100 and n["test"] > 0 and n["validation"] > 0
+
+
+def test_f1_without_hits(spark):
+    """0 where nothing is hit, null where nothing is gold or predicted."""
+    rows = [(0.97, False), (0.3, True), (0.2, False)]
+    got = {round(r.threshold, 2): r for r in metrics.thresholds(spark.createDataFrame(rows, "p double, gold boolean")).collect()}
+    assert got[0.5].tp == 0 and got[0.5].f1 == 0 and abs(got[0.25].f1 - 2 / 3) < 1e-9
+    none = metrics.thresholds(spark.createDataFrame([(0.1, False)], "p double, gold boolean")).collect()
+    assert all(r.f1 is None for r in none if r.threshold > 0.1)
+
+
+def test_small_keys_keep_their_candidates(spark):
+    rows = spark.createDataFrame([(i, f"k{i % 7}") for i in range(20)], "id long, key string")
+    pool = spark.createDataFrame([(100 + i, f"k{i % 7}", f"t{i}") for i in range(20)], "pid long, key string, text string")
+    got = builders.bounded_candidates(rows, pool, "id", "key", "pid", "text").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in got} == {i: 3 if i % 7 < 6 else 2 for i in range(20)}
+    many = builders.bounded_candidates(rows, pool, "id", "key", "pid", "text", circle=1, reach=1)
+    assert many.count() == many.select("id").distinct().count() <= 20
+
+
+def test_settings_of_groups():
+    base = {"a": {"b": 1, "c": {}}, "d": [1]}
+    assert config.layered(base, {"a": {"b": None}}, ['a={"b": 5}', "d=x y"]) == {"a": {"b": 5, "c": {}}, "d": "x y"} and base["a"]["b"] == 1
+    with pytest.raises(ValueError, match="not name=value"):
+        config.layered(base, None, ["a.b"])
