@@ -103,7 +103,7 @@ def escaped_marks(text: Column) -> Column:
 
 def mentions(text: Column, value: Column) -> Column:
     """How often ``value`` stands in ``text`` as a whole word, in either case."""
-    return F.regexp_count(text, F.concat(F.lit(r"(?iu)(?<!\w)\Q"), value, F.lit(r"\E(?!\w)")))
+    return F.regexp_count(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), value, F.lit(r"\E(?!\w)")))
 
 
 def answer_number(text: Column) -> Column:

@@ -132,8 +132,10 @@ def proper_score(probs: Column, label: Column, spherical: float = 0.0) -> Column
 
 def advantage(rewards: DataFrame, group: str, reward: str = "reward") -> DataFrame:
     """Adds advantage: the reward less its group's mean, over the group's deviation."""
-    own = Window.partitionBy(group)
-    return rewards.withColumn("advantage", (F.col(reward) - F.avg(reward).over(own)) / (F.coalesce(F.stddev_samp(reward).over(own), F.lit(0.0)) + 1e-6))
+    # the few numbers of a group are aggregated and joined back, so that a large group stays spread
+    per = rewards.groupBy(F.col(group).alias("a_group")).agg(F.avg(reward).alias("a_mean"), F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("a_dev"))
+    met = rewards.join(per, F.col(group).eqNullSafe(F.col("a_group")))
+    return met.withColumn("advantage", (F.col(reward) - F.col("a_mean")) / (F.col("a_dev") + 1e-6)).drop("a_group", "a_mean", "a_dev")
 
 
 def best_step(history: DataFrame, by: str = "nll") -> DataFrame:

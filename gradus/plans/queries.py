@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import row
-from gradus.operators import builders, compare, load, metrics, splits
+from gradus.operators import builders, compare, load, metrics, relations, splits
 from gradus.sources.tables import table
 
 LANGS = ("de", "en", "es", "fr")
@@ -175,19 +175,8 @@ def c_names(spark, sf_dir):
 
 
 def j_decontaminate(spark, sf_dir):
-    """Documents that hold no benchmark text. A text that stands in a document brings its inner words with it, so that the document has the
-    text's second to sixth word in a row; texts too short for that are looked for by their middle word."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    words = F.split("item", r"\s+")
-    long = items.where(F.size(words) >= 7).select("item", F.array_join(F.slice(words, 2, 5), " ").alias("key"))
-    parts = F.split("text", r"\s+")
-    five = docs.select("doc_id", parts.alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("key"))
-    near = five.join(long, "key").select("doc_id", "item").distinct()
-    short = items.where(F.size(words) < 7).select("item")
-    if not short.isEmpty():
-        near = near.union(docs.join(short, F.contains("text", "item")).select("doc_id", "item"))
-    hit = near.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select("doc_id")
+    """Documents that hold no benchmark text."""
+    return relations.without_contained(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text").select("doc_id")
 
 
 def j_lookup(spark, sf_dir):
@@ -354,7 +343,7 @@ SQL = {
     "u_marks": """select page_id, '<¦state¦>' || url escaped, 'page url' || page_id camel, url bare, 'a ' || url spaced from pages""",
     "u_numbers": "select event_id, cast(case event_id % 3 when 0 then event_id when 1 then user_id end as int) number from events",
     "u_middle": "select doc_id, case when len(w) <= 9 then array_to_string(w, ' ') else array_to_string(w[1:4] || ['…'] || w[len(w) - 4:], ' ') end cut from (select doc_id, string_split(text, ' ') w from documents)",
-    "u_spans": None,
+    "u_mentions": r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\pN_]+'), lambda x: x = 'the')) n_the from documents",
     "c_lang": f"select doc_id, 'de|en|es|fr' options, {_ONE_HOT} as label, 'choice' as type from documents",
     "c_priority": """with n as (select list(distinct o_orderpriority order by o_orderpriority) names from orders) select o_orderkey, array_to_string(list_transform(names, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '_')), '|') ids, array_to_string(list_transform(names, lambda x: case when x = o_orderpriority then '1.0000' else '0.0000' end), '|') as label from orders, n""",
     "c_toxic": "select doc_id, case when toxic = 1 then '1.0000|0.0000' else '0.0000|1.0000' end as label, 'noul' as type from documents join labels using (doc_id) where quality = 1",
@@ -391,4 +380,3 @@ select k p_partkey, least(5, count(distinct lower(trim(other)))) + 1 n_texts, nm
     "s_json": "select event_id, cast(props->>'k' as bigint) k from events",
     "s_page_lang": """select page_id, regexp_extract(html, '<html[^>]*lang=["'']?([a-zA-Z-]+)', 1) lang, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) title from pages""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
