@@ -82,3 +82,24 @@ def bounded_candidates(rows: DataFrame, pool: DataFrame, row_id: str, key: str,
     start = F.pmod(number(F.concat(F.col(row_id).cast("string"), F.lit(":at"))), F.col("z_n"))
     mine = mine.select(row_id, "b_key", "b_mine", "z_n", start.alias("b_start"), step.alias("b_step")).withColumn("b_want", F.pmod(F.col("b_start") + F.col("b_step"), F.col("z_n")))
     return mine.join(placed, (F.col("b_key") == F.col(key)) & (F.col("b_mine") == F.col("b_share")) & (F.col("b_want") == F.col("b_at"))).select(row_id, F.col(pool_id).alias("from_id"), candidate)
+
+
+def own_options(df: DataFrame, dataset: str, state: Column, question: Column, texts: Column, place: Column, pos: Column, **more) -> DataFrame:
+    """Options from an array of the row, lettered by place; ``place`` counts from 1. Rows whose place is not in the array, and rows with more
+    texts than letters, are dropped."""
+    fine = df.withColumns({"b_texts": texts, "b_place": place}).where((F.size("b_texts") <= len(row.LETTERS)) & F.col("b_place").between(1, F.size("b_texts")))
+    return sample(fine, dataset, state, question, row.lettered(F.col("b_texts")), F.substring(F.lit(row.LETTERS), F.col("b_place").cast("int"), F.lit(1)), pos, **more)
+
+
+def pool_choice(rows: DataFrame, row_id: str, key: str, answer: str, split: str = "split", most: int = row.MAX_DISTRACTORS) -> DataFrame:
+    """``rows`` with texts and place: the answer among answers of train rows with the same key, so that no held-out answer is a wrong option.
+    The pool has each answer of a key once; candidates are those of :func:`bounded_candidates`."""
+    pool = rows.where(F.col(split) == "train").select(F.col(key).alias("p_key"), F.col(answer).alias("p_answer")).distinct()
+    keyed = rows.select(row_id, F.col(key).alias("p_key"))
+    pairs = bounded_candidates(keyed, pool.withColumn("p_id", F.col("p_answer")), row_id, "p_key", "p_id", "p_answer")
+    return text_choice(rows, pairs.select(row_id, F.col("p_answer")), row_id, answer, "p_answer", most=most)
+
+
+def recorded(df: DataFrame, group: Column) -> DataFrame:
+    """Rows (payload, group): a source's row as one struct, with the group that every sample made of it takes on."""
+    return df.select(F.struct(*df.columns).alias("payload"), group.alias("group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,22 @@ def limited(samples: DataFrame, most: int) -> DataFrame:
     return kept.where(F.col("l_n") <= most).drop("l_n")
 
 
+def capped_items(samples: DataFrame, most: int, fits: Column | None = None) -> DataFrame:
+    """Of each dataset the ``most`` rows of smallest hash of content, and of these the ones with two options or more that fit: the cap comes first,
+    so that every run scores rows out of the same ones."""
+    h = row.sha1(F.concat(F.coalesce(F.nullif("state", F.lit("")), "question"), F.lit(":"), "question"))
+    kept = samples.withColumn("l_n", F.row_number().over(Window.partitionBy("dataset").orderBy(h, "pos"))).where(F.col("l_n") <= most).drop("l_n")
+    return kept.where((F.size("options") >= 2) & (F.lit(True) if fits is None else fits))
+
+
 def weights(samples: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Rows (dataset, n, weight): the weight of each row of a dataset, n**alpha / n."""
     return samples.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("weight", F.pow("n", F.lit(alpha)) / F.col("n"))
 
 
-def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000) -> DataFrame:
-    """Adds shard and batch. There is a shard for every ``rows`` rows, 8 at least. Inside a shard rows come by size, and a batch closes where its longest row times its rows would pass
+def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000, order: Column | None = None) -> DataFrame:
+    """Adds shard and batch. There is a shard for every ``rows`` rows, 8 at least. Inside a shard rows come by size, or
+    by ``order`` if it is given, and a batch closes where its longest row times its rows would pass
     ``budget``. Sequential by nature: a fold over a sorted shard, which streams."""
     schema = T.StructType([*samples.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("batch", T.LongType())])
 
@@ -45,7 +54,12 @@ def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000) -> D
 
     shards = max(8, -(-samples.count() // rows))
     spread = samples.withColumn("shard", F.pmod(F.xxhash64(*samples.columns[:1]), F.lit(shards)).cast("int"))
-    return spread.repartition(shards, "shard").sortWithinPartitions("shard", size, *samples.columns[:1]).mapInArrow(fold, schema)
+    return spread.repartition(shards, "shard").sortWithinPartitions("shard", F.col(size) if order is None else order, *samples.columns[:1]).mapInArrow(fold, schema)
+
+
+def epoch(samples: DataFrame, row_id: str, size: str, budget: int, number: int, seed: str = "0") -> DataFrame:
+    """One pass over all rows in an order of its own: every row in one batch, batches within ``budget`` as in :func:`packed`."""
+    return packed(samples, size, budget, order=row.sha1(F.concat(F.lit(f"epoch:{seed}:{number}:"), F.col(row_id).cast("string"))))
 
 
 def predicted(samples: DataFrame, predict) -> DataFrame:

@@ -21,8 +21,19 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def json_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Files that are one JSON value each, or a list of rows: rows (file, and the columns of ``schema``)."""
+    return spark.read.schema(schema).option("multiLine", True).json(paths).select(F.col("_metadata.file_name").alias("file"), "*")
+
+
+def with_definitions(rows: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of a side schema's rows of the same keys; rows that it does not define are left out."""
+    return rows.join(definitions.dropDuplicates(keys), keys)
+
+
 def separated(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, quote: str = '"') -> DataFrame:
-    return spark.read.option("sep", sep).option("header", header).option("quote", quote).schema(schema).csv(path)
+    """Text with separators; a quote inside quotes is doubled. An empty ``quote`` takes quotes as they stand."""
+    return spark.read.option("sep", sep).option("header", header).option("quote", quote).option("escape", quote or "\\").schema(schema).csv(path)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradus import config
 from gradus.functions import parse, row
-from gradus.operators import augment, builders, load, metrics, selection, splits, structured
+from gradus.operators import augment, builders, compare, load, metrics, questions, relations, selection, splits, structured
 from gradus.sources import tables
 
 SHAPE = "dataset string, split string, pos long, state string, question string, options array<struct<id:string,text:string>>, label array<float>, group string, type string"
@@ -226,3 +227,98 @@ def test_settings_of_groups():
     assert config.layered(base, {"a": {"b": None}}, ['a={"b": 5}', "d=x y"]) == {"a": {"b": 5, "c": {}}, "d": "x y"} and base["a"]["b"] == 1
     with pytest.raises(ValueError, match="not name=value"):
         config.layered(base, None, ["a.b"])
+
+
+def test_answers_of_the_baseline_add_up(spark):
+    rows = spark.createDataFrame([("", None), ("a red hat", [("x", "red"), ("y", ""), ("z", "red hat")]), ("b", [("x", "q"), ("y", "q")])], "state string, criteria array<struct<key:string,text:string>>")
+    probs = rows.withColumn("texts", questions.criteria_texts(F.col("criteria"))).withColumn("probs", questions.overlap_probs(F.col("state"), F.col("texts")))
+    got = probs.select("texts", "probs", questions.shaped(F.col("criteria"), F.col("probs")).alias("a")).collect()
+    assert all(abs(sum(r.probs) - 1) < 1e-9 for r in got)
+    assert got[0].texts == ["yes", "no"] and got[0].a.noul == 0.5 and got[0].a.choice is None
+    assert got[1].texts == ["x: red", "y", "z: red hat"] and got[1].a.choice == "z" and got[1].a.noul is None
+    assert got[2].a.choice == "x" and got[2].a.confidence == 0.5
+    with pytest.raises(Exception, match="at least 2 criteria"):
+        spark.createDataFrame([([("x", "")],)], "criteria array<struct<key:string,text:string>>").select(questions.criteria_texts(F.col("criteria"))).collect()
+
+
+def test_prompts_keep_the_query_whole(spark):
+    def cut(n, q, budget):
+        df = spark.createDataFrame([(list(map(str, range(n))), ["q"] * q)], "c array<string>, q array<string>")
+        return df.select(questions.prompt(F.col("c"), F.col("q"), budget).alias("p")).first().p
+
+    assert cut(0, 5, 5) == ["q"] * 5 and cut(0, 6, 5) is None
+    assert cut(30, 4, 34) == [*map(str, range(30)), *["q"] * 4]
+    assert cut(30, 4, 21) == [*map(str, range(8)), "\n...\n", *map(str, range(22, 30)), *["q"] * 4]
+    assert cut(30, 4, 20) is None
+
+
+def test_texts_within_texts_of_every_length(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "abc", "b", "ca", "x\ny", "zz."]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, ""]
+    items = [" ".join(rng.choice(["ab", "abc", "b", "ca", "y", "zz."]) for _ in range(n)) for n in (1, 2, 2, 3, 4, 5, 6, 7, 7)] + [None, "x\ny ab", "b c", "abcdefghijkl"]
+    docs = spark.createDataFrame([(i if i % 40 else None, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for own in (items, [i for i in items if i and len(i.split()) > 3], []):
+        got = relations.without_contained(docs, "doc_id", "text", spark.createDataFrame([(i,) for i in own], "item string"), "item").collect()
+        want = [(i if i % 40 else None, t) for i, t in enumerate(texts) if t is None or not any(x is not None and x in t for x in own)]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    every = relations.without_contained(docs, "doc_id", "text", spark.createDataFrame([("",)], "item string"), "item").collect()
+    assert [r.text for r in every] == [None]
+
+
+def test_judged_topics(spark):
+    topics = spark.createDataFrame([(1, "q"), (2, " "), (3, "r"), (4, "s")], "topic int, query string")
+    corpus = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one"), (4, " ")], "passage int, text string")
+    judge = lambda rows: spark.createDataFrame(rows, "topic int, passage int, relevance int")
+    got = relations.judged(topics, judge([(1, 1, 1), (1, 2, 0), (1, 2, 0), (2, 1, 1), (3, 1, 1), (3, 3, 0), (4, 4, 1)]), corpus)
+    assert [(r.topic, r.relevant, [tuple(p) for p in r.passages]) for r in got.orderBy("topic").collect()] == [(1, True, [(1, "one", 1), (2, "two", 0)]), (3, True, [(1, "one", 1), (3, "one", 0)])]
+    made = relations.judged_choice(got, "none").collect()
+    assert [(r.topic, sorted(r.texts), r.texts[r.place - 1]) for r in made] == [(1, ["none", "one", "two"], "one")]
+    for bad in ([(1, 9, 1)], [(1, 1, 2)]):
+        with pytest.raises(Exception, match="no such passage|relevance"):
+            relations.judged(topics, judge(bad), corpus).collect()
+
+
+def test_runs_are_found(spark, tmp_path):
+    for run, stages, files in (("r1", ["a", "b"], ["a-test", "last-test"]), ("r2", ["a"], ["a-test", "last-test", "a-dev"]), ("r3", ["a"], [])):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "run.json").write_text(json.dumps({"stages": stages}, indent=1))
+        for f in files:
+            (tmp_path / run / f"{f}.json").write_text(json.dumps({"d": {"accuracy": 0.5, "from": f}, "macro": {"accuracy": 1}}, indent=1))
+    got = compare.entries(spark, str(tmp_path)).orderBy("entry").collect()
+    assert [(r.entry, r.dataset, r.metrics["from"], float(r.metrics["accuracy"])) for r in got] == [("r1 / a", "d", "a-test", 0.5), ("r1 / b", "d", "last-test", 0.5), ("r2 / a", "d", "a-test", 0.5)]
+
+
+def test_board_order_and_table_lines(spark):
+    scores = spark.createDataFrame([("a", "d", None, False), ("b", "d", 0.5, False), ("c", "d", 0.7, False), ("a", "e", 1.0, False), ("b", "e", 0.5, False), ("c", "e", 0.7, False)], "entry string, dataset string, accuracy double, benchmark boolean")
+    board = compare.ordered(compare.leaderboard(scores)).collect()
+    assert [r.entry for r in board] == ["c", "b", "a"] and board[2].macro != board[2].macro and board[2].wins == 1
+    columns = {"dataset": F.col("dataset"), "n": F.col("accuracy")}
+    assert compare.text_head(columns, ("n",)) == ["| dataset | n |", "|---|---:|"]
+    assert {r.line for r in compare.text_rows(scores, columns).collect()} == {"| d | - |", "| d | 0.5 |", "| d | 0.7 |", "| e | 1.0 |", "| e | 0.5 |", "| e | 0.7 |"}
+
+
+def test_epochs_show_each_row_once(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 37 + 1).cast("int").alias("size"))
+    first, again, second = (load.epoch(rows, "id", "size", 200, n).collect() for n in (0, 0, 1))
+    assert sorted(r.id for r in first) == list(range(500))
+    batches = {}
+    for r in first:
+        batches.setdefault((r.shard, r.batch), []).append(r.size)
+    assert all(len(b) == 1 or max(b) * len(b) <= 200 for b in batches.values())
+    at = lambda rows: {r.id: (r.shard, r.batch) for r in rows}
+    assert at(first) == at(again) and at(first) != at(second)
+
+
+def test_json_values_and_definitions(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"k": "x",\n "n": 1}, {"k": "y", "n": 2}]')
+    (tmp_path / "b.json").write_text('{"k": "x",\n "n": 3}')
+    rows = tables.json_files(spark, f"{tmp_path}/*.json", "k string, n bigint")
+    defined = spark.createDataFrame([("x", "ex"), ("x", "ex")], "k string, what string")
+    assert sorted((r.file, r.n, r.what) for r in tables.with_definitions(rows, defined, ["k"]).collect()) == [("a.json", 1, "ex"), ("b.json", 3, "ex")]
+
+
+def test_records_and_own_options(spark):
+    rows = spark.createDataFrame([(1, ["p", "q"], 2), (2, ["p"], 2), (3, [str(i) for i in range(27)], 1)], "id int, texts array<string>, place int")
+    made = builders.own_options(rows, "d", F.lit("s"), F.lit("q"), F.col("texts"), F.col("place"), F.col("id")).collect()
+    assert [(r.pos, [tuple(o) for o in r.options], r.label) for r in made] == [(1, [("A", "p"), ("B", "q")], [0.0, 1.0])]
+    assert builders.recorded(rows, F.col("id").cast("string")).where("group = '2'").first().payload.texts == ["p"]
