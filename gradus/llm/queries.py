@@ -168,3 +168,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     OR NOT (2 * n_words <= word_chars AND word_chars <= 20 * n_words) OR 2 * n_capitals > word_chars) AS kept
 FROM measured
 """
+
+# A place whose 400 bytes stand elsewhere takes them all with it; places at most 400 bytes apart make one run.
+SQL["op5_suffix_array_dedup"] = """
+WITH own AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS MATERIALIZED (SELECT n, i, md5_number(array_slice(b, i, i + 399)) AS h FROM (SELECT n, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM own)),
+repeated AS (SELECT n, i FROM places WHERE h IN (SELECT h FROM places GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY n ORDER BY i), -400) > 400 AS fresh FROM repeated),
+grouped AS (SELECT n, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY n ORDER BY i) AS run FROM marked),
+runs AS (SELECT n, run, min(i) AS first, max(i) + 399 AS last FROM grouped GROUP BY n, run),
+removed AS (SELECT n, sum(last - first + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY n),
+bounds AS (SELECT n, first, last FROM runs UNION ALL SELECT n, octet_length(b) + 1, NULL FROM own),
+gaps AS (SELECT n, coalesce(lag(last) OVER (PARTITION BY n ORDER BY first), 0) + 1 AS first, first - 1 AS last FROM bounds),
+kept AS (
+  SELECT n, unhex(string_agg(CASE WHEN first <= last THEN hex(array_slice(b, first, last)) ELSE '' END, '' ORDER BY first)) AS kept FROM gaps JOIN own USING (n) GROUP BY n
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept) AS kept_sha256
+FROM own JOIN kept USING (n) LEFT JOIN removed USING (n)
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches and the texts between them come in the same order, so that running sums of lengths are the places. DuckDB folds letters beyond
+    ASCII and knows no vertical tab as a space, and its repeats are bounded: patterns are written so that they mean what the rules mean."""
+    cased = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join([*map(cased, ("password", "passwd", "secret", "token")), f"{cased('api')}_?{cased('key')}"])
+    rules = [("assign", rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    rules += [(r.kind, r.pattern.replace(r"\s", r"\s\x0B").replace("{0,400}", "*"), r.group, r.least) for r in secret_scan.MORE]
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(rules):
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(f"""SELECT n, {rank} AS rank, '{kind}' AS kind, {least} AS least, unnest(generate_series(1, len(m))) AS i, unnest(m) AS m, unnest(c) AS c, unnest(g[1 : len(m)]) AS g
+  FROM (SELECT n, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS c, string_split_regex(text, {p}) AS g FROM own WHERE regexp_matches(text, {p}))""")
+    listed = lambda only: f"coalesce(string_agg(kind || ':' || (till - length(m)) || ':' || till, ',' ORDER BY till - length(m), rank){only}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in rules[:3])
+    return f"""
+WITH own AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents), found AS (
+  {" UNION ALL ".join(found)}
+), placed AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY n, rank ORDER BY i) AS BIGINT) AS till FROM found),
+good AS (SELECT * FROM placed WHERE length(c) >= least)
+SELECT doc_id, {counts}, sha256({listed(" FILTER (rank < 3)")}) AS base_sha256, {listed("")} AS spans FROM own LEFT JOIN good USING (n) GROUP BY own.n, doc_id
+"""
+
+
+SQL["op9_secret_scan"] = _secrets_sql()
