@@ -1,13 +1,15 @@
-"""Scalar and row-level operators as Column functions: deterministic from content, no Python workers.
+"""Scalar and row-level operators as Column functions: deterministic from content, without Python workers but for one.
 
 Where the original draws with a seeded generator, the draw here is an order by the SHA-1 of seed and item: as deterministic, salted alike so
-that streams are independent, and the same in any SQL engine, but another permutation.
+that streams are independent, and the same in any SQL engine, but another permutation. :func:`generator_shuffled` alone gives the generator's own.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,22 @@ def shuffled(items: Column, seed: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda t: t["v"])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _drawn_places(seeds: pd.Series, sizes: pd.Series) -> pd.Series:
+    def places(seed: str, n: int) -> list[int]:
+        out = list(range(n))
+        random.Random(seed).shuffle(out)
+        return out
+
+    return pd.Series([None if s is None or pd.isna(n) else places(s, int(n)) for s, n in zip(seeds, sizes)], dtype=object)
+
+
+def generator_shuffled(items: Column, seed: Column) -> Column:
+    """The items in the order that Python's generator of this string seed gives them, for runs that have to repeat earlier ones exactly. Only
+    seeds and sizes go to Python, Arrow batches at a time. A null seed or array gives null."""
+    return F.transform(_drawn_places(seed, F.when(items.isNotNull(), F.size(items))), lambda i: F.get(items, i))
+
+
 def pick(versions: Sequence[str], seed: Column, salt: str = "question") -> Column:
     """One of the phrasings, by salted seed."""
     return F.element_at(F.array(*[F.lit(v) for v in versions]), bucket(F.concat(F.lit(f"{salt}:"), seed), len(versions)) + 1)
@@ -62,6 +80,12 @@ def one_hot(options: Column, answer: Column) -> Column:
     return F.when(F.exists(options, lambda o: o["id"] == answer), label).otherwise(F.raise_error(F.concat(F.lit("no such option: "), answer)).cast("array<float>"))
 
 
+def distribution(options: Column, label: Column) -> Column:
+    """A soft label as it is given; an array of another length than the options raises an error."""
+    told = F.concat(F.lit("as many shares as options: "), F.size(label).cast("string"), F.lit(" for "), F.size(options).cast("string"))
+    return F.when(F.size(options) == F.size(label), F.transform(label, lambda p: p.cast("float"))).otherwise(F.raise_error(told).cast("array<float>"))
+
+
 def group_key(group: Column, state: Column, question: Column) -> Column:
     """The group, or what stands for it: an empty string counts as missing."""
     return F.coalesce(F.nullif(group, F.lit("")), sha1(F.coalesce(F.nullif(state, F.lit("")), question)))
@@ -106,6 +130,12 @@ def mentions(text: Column, value: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), value, F.lit(r"\E(?!\w)")))
 
 
+def visible(value: Column, history: Column) -> Column:
+    """Whether ``value`` was said in ``history`` as whole words, in either case; centre and center are one spelling."""
+    alike = lambda x: F.replace(F.lower(x), F.lit("centre"), F.lit("center"))
+    return mentions(alike(history), alike(value)) > 0
+
+
 def answer_number(text: Column) -> Column:
     """The number that an answer starts with, or that follows "answer is"; null without one."""
     first, said = F.regexp_extract(text, r"^\s*\(?(\d+)", 1), F.regexp_extract(F.lower(text), r"answer is\s*\(?(\d+)", 1)
@@ -119,20 +149,25 @@ def middle_cut(tokens: Column, keep: Column, mark: str = "…") -> Column:
     return F.when(F.size(tokens) <= keep, tokens).otherwise(cut)
 
 
-def spans_of_tags(tokens: Column, tags: Column) -> Column:
-    """BIO tags to ARRAY<STRUCT<kind, text>>: B- opens a span, I- of its kind goes on, any other I- is dropped."""
+def spans_of_tags(tokens: Column, tags: Column, whole: bool = False) -> Column:
+    """BIO tags to ARRAY<STRUCT<kind, text>>: B- opens a span, I- of its kind goes on, any other I- is dropped. With ``whole`` such an I-, or
+    another number of tags than of tokens, leaves no span at all."""
     none = F.array().cast("array<struct<kind:string,text:string>>")
-    start = F.struct(none.alias("done"), F.lit("").alias("kind"), F.lit("").alias("text"))
+    start = F.struct(none.alias("done"), F.lit("").alias("kind"), F.lit("").alias("text"), F.lit(False).alias("torn"))
 
     def closed(acc: Column) -> Column:
         return F.when(acc["text"] != "", F.concat(acc["done"], F.array(F.struct(acc["kind"].alias("kind"), acc["text"].alias("text"))))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
         name = F.substring(x["tag"], 3, 1000)
-        goes_on = (F.left(x["tag"], F.lit(2)) == "I-") & (name == acc["kind"]) & (acc["text"] != "")
-        opened = F.struct(closed(acc).alias("done"), name.alias("kind"), x["token"].alias("text"))
-        longer = F.struct(acc["done"].alias("done"), acc["kind"].alias("kind"), F.concat(acc["text"], F.lit(" "), x["token"]).alias("text"))
-        ended = F.struct(closed(acc).alias("done"), F.lit("").alias("kind"), F.lit("").alias("text"))
+        inner = F.left(x["tag"], F.lit(2)) == "I-"
+        goes_on = inner & (name == acc["kind"]) & (acc["text"] != "")
+        opened = F.struct(closed(acc).alias("done"), name.alias("kind"), x["token"].alias("text"), acc["torn"].alias("torn"))
+        longer = F.struct(acc["done"].alias("done"), acc["kind"].alias("kind"), F.concat(acc["text"], F.lit(" "), x["token"]).alias("text"), acc["torn"].alias("torn"))
+        ended = F.struct(closed(acc).alias("done"), F.lit("").alias("kind"), F.lit("").alias("text"), (acc["torn"] | inner).alias("torn"))
         return F.when(F.left(x["tag"], F.lit(2)) == "B-", opened).when(goes_on, longer).otherwise(ended)
 
-    return F.aggregate(F.arrays_zip(tokens.alias("token"), tags.alias("tag")), start, step, closed)
+    def finished(acc: Column) -> Column:
+        return F.when(acc["torn"] | (F.size(tokens) != F.size(tags)), none).otherwise(closed(acc)) if whole else closed(acc)
+
+    return F.aggregate(F.arrays_zip(tokens.alias("token"), tags.alias("tag")), start, step, finished)

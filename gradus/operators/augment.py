@@ -73,7 +73,7 @@ def drawn(samples: DataFrame, row_id: str, draws: int, alpha: float = 0.5, seed:
 
     A draw picks a share of a dataset (a hash cuts each into ``shares``, so that none is one task) and a place in it, by the draw's
     hash; places that were drawn are counted before they meet the rows. What is joined to the draws is a row for each share."""
-    share = samples.withColumn("d_share", F.pmod(F.xxhash64(F.col(row_id)), F.lit(shares)).cast("int"))
+    share = samples.withColumn("d_share", row.bucket(F.concat(F.lit("share:"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))), shares))
     sizes = share.groupBy("dataset", "d_share").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("dataset").agg(F.sum("n").alias("total"))
     weight = F.col("n") / F.col("total") * F.pow("total", F.lit(alpha))

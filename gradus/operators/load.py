@@ -44,6 +44,7 @@ def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000, orde
         for b in batches:
             out = []
             for s, length in zip(b.column("shard").to_pylist(), b.column(size).to_pylist()):
+                length = length or 0  # a row without a size takes no room
                 if s != shard:
                     shard, number, n, longest = s, 0, 0, 0
                 if n and max(longest, length) * (n + 1) > budget:
@@ -53,7 +54,7 @@ def packed(samples: DataFrame, size: str, budget: int, rows: int = 100_000, orde
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=schema.names)
 
     shards = max(8, -(-samples.count() // rows))
-    spread = samples.withColumn("shard", F.pmod(F.xxhash64(*samples.columns[:1]), F.lit(shards)).cast("int"))
+    spread = samples.withColumn("shard", row.bucket(F.concat(F.lit("shard:"), F.coalesce(F.col(samples.columns[0]).cast("string"), F.lit(""))), shards))
     return spread.repartition(shards, "shard").sortWithinPartitions("shard", F.col(size) if order is None else order, *samples.columns[:1]).mapInArrow(fold, schema)
 
 

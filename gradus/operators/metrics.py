@@ -105,6 +105,21 @@ def yes_probability(options: Column, probs: Column) -> Column:
     return F.get(F.transform(yes, lambda x: x["p"]), F.lit(0))
 
 
+def positives(rows: DataFrame, positive: str = "yes") -> DataFrame:
+    """Rows (dataset, p, gold) of two-way rows (dataset, options, probs, label): the probability of the first option that says yes (or, for
+    "no", of the first that does not) and whether its label is half or more. A row that was not answered has a null p, so that those who
+    sweep thresholds can leave it out and count it; rows without such an option are left out."""
+    says = lambda o: F.lower(F.trim(o["text"])).isin("yes", "да") == F.lit(positive == "yes")
+    at = F.array_position(F.transform("options", says), True)
+    return rows.withColumn("p_at", at).where("p_at > 0").select("dataset", F.get("probs", F.col("p_at") - 1).alias("p"), (F.get("label", F.col("p_at") - 1) >= 0.5).alias("gold"))
+
+
+def binary_summary(binary: DataFrame, keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """Rows (keys, n, skipped, base_rate): answered rows, those that were not, and the share of gold among the answered."""
+    there = F.col("p").isNotNull()
+    return binary.groupBy(*keys).agg(F.count_if(there).alias("n"), F.count_if(~there).alias("skipped"), F.avg(F.when(there, F.col("gold").cast("double"))).alias("base_rate"))
+
+
 def renormalised(probs: Column) -> Column:
     """Shares that add up to 1; even ones if all are 0."""
     total = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p)

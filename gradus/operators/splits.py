@@ -56,6 +56,20 @@ def cap(samples: DataFrame, most: int, split: str = "split") -> DataFrame:
 
 
 def without_shared(samples: DataFrame, key: str, split: str = "split") -> DataFrame:
-    """Drops rows whose ``key`` a more held-out split has: test over validation over train."""
+    """Drops rows whose ``key`` a more held-out split has: test over validation over train. A key's most held-out split is one row, combined
+    before it moves; rows without a key share none."""
     prio = F.when(F.col(split) == "test", 0).when(F.col(split) == "validation", 1).otherwise(2)
-    return samples.withColumn("w_p", prio).withColumn("w_h", F.min("w_p").over(Window.partitionBy("dataset", key))).where("w_p = w_h").drop("w_p", "w_h")
+    home = samples.where(F.col(key).isNotNull()).groupBy(F.col("dataset").alias("w_d"), F.md5(F.col(key).cast("string").cast("binary")).alias("w_k")).agg(F.min(prio).alias("w_h")).where("w_h < 2")
+    keyed = samples.withColumns({"w_p": prio, "w_c": F.md5(F.col(key).cast("string").cast("binary"))})
+    lower = (F.col("dataset") == F.col("w_d")) & (F.col("w_c") == F.col("w_k")) & (F.col("w_p") > F.col("w_h"))
+    return keyed.join(home, lower, "left_anti").drop("w_p", "w_c")
+
+
+def split_by(key: Column, tenths: dict[str, int]) -> Column:
+    """A split by content: of ten buckets of the key's hash the first go to the splits of ``tenths`` in order, the rest to train. A null key
+    counts as empty."""
+    b, low, out = row.bucket(F.coalesce(key, F.lit("")), 10), 0, F.lit("train")
+    for name, n in tenths.items():
+        out = F.when((b >= low) & (b < low + n), name).otherwise(out)
+        low += n
+    return out

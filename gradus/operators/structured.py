@@ -53,13 +53,12 @@ def current_values(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
 def dialogue_slots(turns: DataFrame, dialogue: str = "dialogue", user: str = "USER") -> DataFrame:
     """From (dialogue, turn, speaker, utterance, frames ARRAY<STRUCT<service, slot_values MAP<STRING, ARRAY<STRING>>>>): rows (dialogue, turn,
     service, slot, values, history), one where a user's value changes; history is what was said up to and with that turn."""
-    said = Window.partitionBy(dialogue).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    lines = turns.select(dialogue, "turn", F.concat_ws(": ", "speaker", "utterance").alias("line"))
+    lines = turns.groupBy(dialogue).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "speaker", "utterance").alias("line")))).alias("s_lines"))
     slots = turns.where(F.col("speaker") == user).select(dialogue, "turn", F.explode("frames").alias("f")).select(dialogue, "turn", F.col("f.service").alias("service"), F.explode("f.slot_values").alias("slot", "values"))
     changed = current_values(slots, (dialogue, "service", "slot"), ("turn",), "values")
-    # the text before a turn is built once for each turn at which something changes
-    history = lines.withColumn("history", F.array_join(F.collect_list("line").over(said), "\n")).select(dialogue, "turn", "history")
-    return changed.join(history, [dialogue, "turn"])
+    # a dialogue's lines are listed once; a history is cut from them only where something changes
+    past = F.transform(F.filter("s_lines", lambda x: x["turn"] <= F.col("turn")), lambda x: x["line"])
+    return changed.join(lines, dialogue).withColumn("history", F.array_join(past, "\n")).drop("s_lines")
 
 
 def unique_objects(docs: DataFrame, doc_id: str, text: str, annotations: str, kinds: Sequence[str], alias_kinds: Sequence[str] = ()) -> DataFrame:

@@ -190,6 +190,20 @@ _ORDER = """with l as (select l_orderkey, cast(l_linenumber as varchar) a, cast(
 t as (select l_orderkey, count(*) m, case when count(distinct c) = count(*) then 2 when count(distinct a) = count(*) then 0 when count(distinct b) = count(*) then 1 end as key, string_agg(a || ' | ' || b || ' | ' || c, chr(10) order by ln, b, c) body from l group by 1 having count(*) between 2 and 39)"""
 
 SQL = {
+    "c_evidence": r"""with e as (select doc_id, text || 'Where is it said?' seed, w[10] a, length(array_to_string(w[1:9], ' ')) + 1 s, string_split(regexp_replace(text, '([.!?])(\s+)([А-ЯЁA-Z0-9])|(\n+)', '\1\2\4' || chr(1) || '\3', 'g'), chr(1)) f
+from (select doc_id, text, string_split(text, ' ') w from documents) where len(w) >= 10 and trim(w[10]) <> ''),
+p as (select doc_id, s, a, unnest(f) part, unnest(range(len(f))) i from e), q as (select *, regexp_replace(part, '^\s+|\s+$', '', 'g') t, sum(length(part)) over (partition by doc_id order by i) till from p),
+r as (select doc_id, arg_min(t, i) t from q where s >= till - length(part) and s + length(a) <= till group by 1), o as (select doc_id, t, min(i) i from q where t <> '' and not contains(lower(t), lower(trim(a))) group by 1, 2),
+n as (select doc_id, t, row_number() over (partition by doc_id order by i) - 1 k from o), x as (select doc_id, t, row_number() over (partition by doc_id order by sha1(seed || ':' || k), k) j from n join e using (doc_id)),
+c as (select doc_id, t, j from x where j <= 20 union all select doc_id, t, 0 from r), b as (select doc_id, t, j, row_number() over (partition by doc_id order by sha1('options:' || seed || ':' || j), j) place, count(*) over (partition by doc_id) n from c join e using (doc_id))
+select doc_id, n, cast(place as int) place, t answer from b where j = 0 and n > 1""",
+    "l_fewer": f"""with o as (select doc_id, lang, unnest([0, 1, 2, 3]) i, unnest(['de', 'en', 'es', 'fr']) v from documents), w as (select *, row_number() over (partition by doc_id order by i) - 1 j from o where v <> lang),
+n as (select *, row_number() over (partition by doc_id order by sha1('count:' || doc_id || ':' || j), j) n from w), gone as (select doc_id, i from n where {_B("'drop:' || doc_id", 1000000)} < 500000 and n <= {_B("'gone:' || doc_id", 1000003)} % 2 + 1)
+select doc_id, string_agg(v, '|' order by i) as options, string_agg(case when v = lang then '1.0000' else '0.0000' end, '|' order by i) as label from o anti join gone using (doc_id, i) group by 1""",
+    "l_drawn": f"""with s as (select lang dataset, doc_id, {_B("'share:' || doc_id", 256)} share from documents), p as (select *, row_number() over (partition by dataset, share order by doc_id) place from s), z as (select dataset, share, count(*) n from s group by 1, 2),
+w as (select *, sum(n / total * pow(total, 0.5)) over (order by dataset, share) upto from (select *, sum(n) over (partition by dataset) total from z)), h as (select *, upto / max(upto) over () high from w),
+e as (select *, coalesce(lag(high) over (order by dataset, share), 0) low from h), d as (select {_B("'draw:0:' || id", 1 << 30)} / {1 << 30}::double u, {_B("'place:0:' || id", 1 << 30)} spot from (select unnest(range(2048)) id))
+select dataset, doc_id, draws from p join (select dataset, share, spot % n + 1 place, count(*) draws from d join e on u >= low and u < high group by all) using (dataset, share, place)""",
     "u_sentences": r"""with f as (select doc_id, text, string_split(regexp_replace(text, '([.!?])(\s+)([А-ЯЁA-Z0-9])|(\n+)', '\1\2\4' || chr(1) || '\3', 'g'), chr(1)) f from documents where text is not null)
 select doc_id, len(f) n, length(text) last_end, sha1(array_to_string(list_transform(f, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), '|')) texts from f""",
     "u_marked": "select p_partkey, case when p_partkey % 5 = 0 then '' else 'brand=' || p_brand || '|kind=' || p_type end spans from part",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import parse, row
 from gradus.operators import builders, compare, load, metrics, questions, relations
-from gradus.plans.queries import LANG_QUESTION, SQL_BUCKET, lang_samples, scores
+from gradus.plans.queries import LANG_QUESTION, SQL_BUCKET, lang_samples, packed_sql, scores
 from gradus.sources import tables
 from gradus.sources.tables import table
 
@@ -260,6 +260,7 @@ select doc_id, case when yn then round(p[1], 6) end noul, case when not yn then
     "x_logits": """with v as (select vec_id, list_inner_product(cast(embedding as double[]), cast(embedding as double[])) * 0.125 a, list_inner_product(cast(embedding as double[]), list_reverse(cast(embedding as double[]))) * 0.125 b from embeddings)
 select vec_id, round(a, 4) own, round(case when vec_id % 3 = 0 then 1.0 else exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) end, 4) p from v""",
     "l_items": f"select doc_id from (select doc_id from documents order by sha1(case when text = '' then '{LANG_QUESTION}' else text end || ':' || '{LANG_QUESTION}'), doc_id limit 100) where doc_id % 3 <> 0",
+    "l_epoch": packed_sql("sha1('epoch:0:1:' || doc_id)"),
     "r_described": _SCORES + """, f as (select dataset, bool_or(benchmark) flag from s group by 1) select entry, dataset, case dataset when 'src0' then 'nlu' when 'src2' then 'logic' when 'src9' then 'x' else '?' end topic, case dataset when 'src0' then 'noul' when 'src2' then 'choice' when 'src9' then 'y' else '?' end as type,
 case when coalesce(flag, dataset in ('src2', 'src9')) then 'benchmark' else 'test' end as "group" from s join f using (dataset)""",
     "r_partial": _SCORES + """, k as (select entry, dataset, accuracy, coalesce(benchmark, false) benchmark from s where dataset <> 'src3'), v as (select *, case when accuracy is not null then rank() over (partition by dataset order by accuracy desc nulls last) + (count(*) over (partition by dataset, accuracy) - 1) / 2 end rk,

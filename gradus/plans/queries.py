@@ -110,12 +110,36 @@ def u_mentions(spark, sf_dir):
 
 
 def u_spans(spark, sf_dir):
-    """Tags by the first letter of a word; spans are runs of words that begin alike."""
+    """Tags of two kinds by the first letter of a word, a span opening at every third; the same where a broken chain leaves no span."""
     c = table(spark, sf_dir, "conversations")
     tokens = F.split("text", " ")
-    tag = F.transform(tokens, lambda t, i: F.when(~t.rlike("^[a-m]"), F.lit("O")).when(i % 3 == 0, F.lit("B-x")).otherwise("I-x"))
-    spans = row.spans_of_tags(F.col("tokens"), F.col("tags"))
-    return c.select("conv_id", "turn", tokens.alias("tokens"), tag.alias("tags")).select("conv_id", "turn", F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit("="), s["text"])), "|").alias("spans"))
+    kind = lambda t: F.when(t.rlike("^[a-f]"), "x").otherwise("y")
+    tag = F.transform(tokens, lambda t, i: F.when(~t.rlike("^[a-m]"), F.lit("O")).otherwise(F.concat(F.when(i % 3 == 0, "B-").otherwise("I-"), kind(t))))
+    written = lambda whole: F.array_join(F.transform(row.spans_of_tags(F.col("tokens"), F.col("tags"), whole), lambda s: F.concat(s["kind"], F.lit("="), s["text"])), "|")
+    return c.select("conv_id", "turn", tokens.alias("tokens"), tag.alias("tags")).select("conv_id", "turn", written(False).alias("spans"), written(True).alias("whole_spans"))
+
+
+def u_visible(spark, sf_dir):
+    """Whether a turn says a word; every third word is spelled in another way."""
+    c = table(spark, sf_dir, "conversations")
+    word = F.when(F.col("turn") % 3 == 0, "THE").when(F.col("turn") % 3 == 1, "centre").otherwise("a")
+    return c.select("conv_id", "turn", row.visible(word, F.concat(F.col("text"), F.when(F.col("conv_id") % 2 == 0, " Center.").otherwise(" centers"))).alias("visible"))
+
+
+def u_generator(spark, sf_dir):
+    """Orders of a seeded generator."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(row.generator_shuffled(F.array("p_brand", "p_type", "p_name"), F.col("p_partkey").cast("string")), "|").alias("shuffled"))
+
+
+def c_shares(spark, sf_dir):
+    """Soft labels of two options."""
+    d = table(spark, sf_dir, "documents")
+    share = (F.col("doc_id") % 5) / 4.0
+    return d.select("doc_id", _label(row.distribution(row.options_of(["yes", "no"]), F.array(share, 1 - share))).alias("label"))
+
+
+def p_tenths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", splits.split_by(F.col("text"), {"test": 1, "validation": 1}).alias("split"))
 
 
 def c_lang(spark, sf_dir):
@@ -196,8 +220,10 @@ def w_changes(spark, sf_dir):
 def w_history(spark, sf_dir):
     """Each turn with the length of all that was said up to it."""
     c = table(spark, sf_dir, "conversations")
-    own = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("conv_id", "turn", F.sha1(F.array_join(F.collect_list("text").over(own), "\n").cast("binary")).alias("history"))
+    # the turns are listed once a conversation, a history is a slice of the list
+    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", "t", F.posexplode("t").alias("at", "one"))
+    said = F.array_join(F.transform(F.slice("t", F.lit(1), F.col("at") + 1), lambda x: x["text"]), "\n")
+    return listed.select("conv_id", F.col("one.turn").alias("turn"), F.sha1(said.cast("binary")).alias("history"))
 
 
 def w_first(spark, sf_dir):
@@ -251,6 +277,18 @@ def x_average_precision(spark, sf_dir):
     return _rounded(metrics.average_precision(own, ("event_type",)), "average_precision")
 
 
+def x_positives(spark, sf_dir):
+    """Two-way rows judged by their "no", of which every 50th has no answer; yes stands first in every second one."""
+    d = table(spark, sf_dir, "documents")
+    p, share = row.bucket(F.col("doc_id").cast("string"), 101) / 100.0, (F.col("doc_id") % 5) / 4.0
+    even = F.col("doc_id") % 2 == 0
+    told = d.select(F.col("source").alias("dataset"), F.when(even, row.options_of(["yes", "no"])).otherwise(row.options_of(["no", "yes"], ["Нет", "Да"])).alias("options"),
+                    F.when(F.col("doc_id") % 50 != 7, F.when(even, F.array(p, 1 - p)).otherwise(F.array(1 - p, p))).alias("probs"), F.when(even, F.array(share, 1 - share)).otherwise(F.array(1 - share, share)).alias("label"))
+    rows = metrics.positives(told, "no")
+    best = metrics.thresholds(rows).where("threshold = 0.5").select("tp", "fp", "fn", "tn")
+    return _rounded(metrics.binary_summary(rows), "base_rate").crossJoin(F.broadcast(best))
+
+
 def x_temperature(spark, sf_dir):
     own = predictions(spark, sf_dir).where("probs is not null").select(F.transform("probs", F.ln).alias("logits"), "label")
     return spark.createDataFrame([(round(metrics.fit_temperature(own), 4),)], "temperature double")
@@ -300,9 +338,9 @@ def s_page_lang(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    p_regroup, p_counts, p_carve, p_resplit, p_cap, p_priority, u_slugify, u_bucket, u_pick, u_shuffle, u_context, u_marks, u_numbers, u_middle, u_mentions, u_spans,
+    p_regroup, p_counts, p_carve, p_resplit, p_cap, p_priority, u_slugify, u_bucket, u_pick, u_shuffle, u_context, u_marks, u_numbers, u_middle, u_mentions, u_spans, u_visible, u_generator, p_tenths, c_shares,
     c_lang, c_priority, c_toxic, c_lang_yes_no, c_votes, c_next_role, c_siblings, c_names, j_decontaminate, j_lookup, w_changes, w_history, w_first,
-    x_metrics, x_macro, x_thresholds, x_best_f1, x_average_precision, x_temperature, r_leaderboard, r_wide, l_limit, l_weights, l_packed, s_json, s_page_lang)}
+    x_metrics, x_macro, x_thresholds, x_best_f1, x_average_precision, x_positives, x_temperature, r_leaderboard, r_wide, l_limit, l_weights, l_packed, s_json, s_page_lang)}
 
 _B = SQL_BUCKET.format
 _CONTENT = f"case when text = '' then '{LANG_QUESTION}' else text end"
@@ -328,7 +366,46 @@ _SCORES = """with e as (select unnest(['a', 'b', 'c']) entry), x as (select entr
 s as (select entry, dataset, avg(hit) accuracy, dataset in ('src0', 'src1', 'src2', 'src3') benchmark from x group by all),
 m as (select *, count(*) over (partition by dataset) k from s), k as (select * from m where k = 3)"""
 
+
+
+def packed_sql(order: str, budget: int = 65536) -> str:
+    """Batches of the documents: the fold over each shard, a row at a time."""
+    return f"""with recursive s as (select doc_id, length(text) size, {_B("'shard:' || doc_id", "(select greatest(8, ceil(count(*) / 100000)::int) from documents)")} shard from documents),
+o as (select *, row_number() over (partition by shard order by {order}, doc_id) k from s),
+r as (select doc_id, size, shard, k, 0::bigint batch, 1 n, size longest from o where k = 1 union all
+select o.doc_id, o.size, o.shard, o.k, r.batch + f.fresh::int, case when f.fresh then 1 else r.n + 1 end, case when f.fresh then o.size else greatest(r.longest, o.size) end
+from r join o on o.shard = r.shard and o.k = r.k + 1, lateral (select greatest(r.longest, o.size) * (r.n + 1) > {budget} fresh) f)
+select doc_id, cast(size as int) size, shard, batch from r"""
+
+
+def _temperature_sql(points: int = 9, rounds: int = 6) -> str:
+    """Grids of log T, each around the best of the one before; shares to the power of 1 / T are those of tempered logits."""
+    out = [_PREDICTED + ", o as (select gold, p from q where was), r0 as (select -3.0::double low, 3.0::double high)"]
+    for k in range(rounds):
+        out.append(f"""g{k} as (select i, low + (high - low) * i / {points - 1} g from r{k}, (select unnest(range({points})) i)),
+w{k} as (select i, gold, list_transform(p, lambda x: pow(x / list_max(p), 1 / pow(2.718281828459045, g))) w from g{k}, o), v{k} as (select i, gold, list_transform(w, lambda x: greatest(x / list_sum(w), 1e-9)) v from w{k}),
+l{k} as (select i, avg(-ln(v[gold] / list_sum(v))) loss from v{k} group by i), b{k} as (select arg_min(i, loss) b from l{k}),
+r{k + 1} as (select (select g from g{k}, b{k} where i = greatest(0, b - 1)) low, (select g from g{k}, b{k} where i = least({points - 1}, b + 1)) high)""")
+    return ", ".join(out) + f" select round(pow(2.718281828459045, (low + high) / 2), 4) temperature from r{rounds}"
+
+
 SQL = {
+    "u_spans": """with c as (select conv_id, turn, unnest(string_split(text, ' ')) tok, unnest(range(len(string_split(text, ' ')))) i from conversations),
+t as (select *, case when not regexp_matches(tok, '^[a-m]') then 'O' when i % 3 = 0 then 'B' else 'I' end tag, case when regexp_matches(tok, '^[a-f]') then 'x' else 'y' end kind from c),
+l as (select *, max(case when tag = 'B' then i end) over (partition by conv_id, turn order by i) b from t), k as (select *, max(case when tag = 'B' then kind end) over (partition by conv_id, turn, b) opened from l),
+m as (select *, b is null or sum(case when tag = 'O' or (tag = 'I' and kind <> opened) then 1 else 0 end) over (partition by conv_id, turn, b order by i) > 0 out from k),
+s as (select conv_id, turn, b, any_value(opened) || '=' || string_agg(tok, ' ' order by i) s from m where not out group by 1, 2, 3), a as (select conv_id, turn, string_agg(s, '|' order by b) s from s group by 1, 2),
+x as (select conv_id, turn, bool_or(out and tag = 'I') torn from m group by 1, 2)
+select conv_id, turn, case when c.text is not null then coalesce(s, '') end spans, case when c.text is not null then case when torn then '' else coalesce(s, '') end end whole_spans from conversations c left join a using (conv_id, turn) left join x using (conv_id, turn)""",
+    "u_visible": r"""select conv_id, turn, case turn % 3 when 0 then regexp_matches(text, '(?i)(^|[^\pL\pM\pN_])the($|[^\pL\pM\pN_])') when 1 then conv_id % 2 = 0 or regexp_matches(text, '(?i)(^|[^\pL\pM\pN_])cent(er|re)($|[^\pL\pM\pN_])')
+else regexp_matches(text, '(?i)(^|[^\pL\pM\pN_])a($|[^\pL\pM\pN_])') end visible from conversations""",
+    "c_shares": "select doc_id, printf('%.4f', (doc_id % 5) / 4.0::double) || '|' || printf('%.4f', 1 - (doc_id % 5) / 4.0::double) as label from documents",
+    "p_tenths": f"select doc_id, case {_B("coalesce(text, '')", 10)} when 0 then 'test' when 1 then 'validation' else 'train' end split from documents",
+    "x_positives": f"""with r as (select source dataset, case when doc_id % 50 <> 7 then 1 - {_B("cast(doc_id as varchar)", 101)} / 100.0::double end p, 1 - (doc_id % 5) / 4.0::double >= 0.5 gold from documents),
+c as (select count(*) filter (gold and round(p * 20, 9) >= 10) tp, count(*) filter (not gold and round(p * 20, 9) >= 10) fp, count(*) filter (gold and round(p * 20, 9) < 10) fn, count(*) filter (not gold and round(p * 20, 9) < 10) tn from r)
+select dataset, count(p) n, count(*) - count(p) skipped, round(avg(gold::int::double) filter (p is not null), 6) base_rate, any_value(tp) tp, any_value(fp) fp, any_value(fn) fn, any_value(tn) tn from r, c group by 1""",
+    "x_temperature": _temperature_sql(),
+    "l_packed": packed_sql("size nulls first"),
     "p_regroup": SQL_REGROUP,
     "p_counts": f"select split from_split, target to_split, count(*) n from ({SQL_REGROUP}) group by 1, 2",
     "p_carve": _CARVE + "case when b < 5 then 'test' when b < 10 then 'validation' else 'train' end target from h where copy = 1",

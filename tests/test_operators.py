@@ -19,6 +19,58 @@ def test_spans_of_tags(spark):
     df = spark.createDataFrame([(tokens, tags), ([], [])], "t array<string>, g array<string>")
     got = [[(s.kind, s.text) for s in r[0]] for r in df.select(row.spans_of_tags(F.col("t"), F.col("g"))).collect()]
     assert got == [[("x", "b c"), ("y", "e"), ("x", "g")], []]
+    whole = spark.createDataFrame([(tokens, tags), (tokens, ["B-x", "I-x", "O", "B-y", "I-y", "O", "O"]), (tokens, ["B-x"]), ([], []), (None, None)], df.schema)
+    got = [r[0] and [(s.kind, s.text) for s in r[0]] for r in whole.select(row.spans_of_tags(F.col("t"), F.col("g"), True)).collect()]
+    assert got == [[], [("x", "a b"), ("y", "d e")], [], [], None]
+
+
+def test_orders_of_a_generator(spark):
+    def order(seed, items):
+        out = list(items)
+        random.Random(seed).shuffle(out)
+        return out
+
+    cases = [("a", list("abcdefg")), ("1:é", list("xyz")), ("b", []), ("c", ["p", "p", None])]
+    df = spark.createDataFrame([*cases, (None, ["x"]), ("d", None)], "s string, v array<string>")
+    got = [r[0] for r in df.select(row.generator_shuffled(F.col("v"), F.col("s"))).collect()]
+    assert got == [*[order(s, v) for s, v in cases], None, None]
+
+
+def test_soft_labels_have_a_share_for_each_option(spark):
+    two = row.options_of(["yes", "no"])
+    assert spark.range(1).select(row.distribution(two, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] == [0.25, 0.75]
+    with pytest.raises(Exception, match="as many shares as options: 1 for 2"):
+        spark.range(1).select(row.distribution(two, F.array(F.lit(1.0)))).collect()
+
+
+def test_tags_that_stand_alone(spark):
+    df = spark.createDataFrame([("dentist or surgeon",), ("surgeon or urologist",), ("none",), (None,)], "t string")
+    got = [r[0] for r in df.select(parse.tagged(F.col("t"), {"surgeon": "surg", "urologist": "urol"}, {"dentist": "^dent", "both": "^d"})).collect()]
+    assert got == [["dentist"], ["surgeon", "urologist"], [], []]
+
+
+def test_positives(spark):
+    rows = [("a", [("y", " Yes "), ("n", "no")], [0.3, 0.7], [0.5, 0.5]), ("a", [("n", "нет"), ("y", "да")], [0.6, 0.4], [1.0, 0.0]), ("a", [("y", "yes"), ("n", "no")], None, [1.0, 0.0]), ("a", [("y", "yes")], [1.0], [1.0])]
+    df = spark.createDataFrame(rows, "dataset string, options array<struct<id:string,text:string>>, probs array<double>, label array<double>")
+    flat = lambda positive: [tuple(r)[1:] for r in metrics.positives(df, positive).collect()]
+    assert flat("yes") == [(0.3, True), (0.4, False), (None, True), (1.0, True)] and flat("no") == [(0.7, True), (0.6, True), (None, False)]
+    assert metrics.binary_summary(metrics.positives(df, "no")).collect() == [("a", 2, 1, 1.0)]
+
+
+def test_shared_keys_go_from_the_less_held_out(spark):
+    rows = [("d", 1, "test", "k"), ("d", 2, "train", "k"), ("d", 3, "validation", "k"), ("d", 4, "train", "m"), ("d", 5, "train", "m"), ("e", 6, "train", "k"), ("d", 7, "test", None), ("d", 8, "train", None)]
+    df = spark.createDataFrame(rows, "dataset string, i int, split string, key string")
+    assert sorted(r.i for r in splits.without_shared(df, "key").collect()) == [1, 4, 5, 6, 7, 8]
+    parts = [r[0] for r in spark.range(3000).select(splits.split_by(F.col("id").cast("string"), {"test": 1, "validation": 2})).collect()]
+    assert [round(parts.count(s) / 3000, 1) for s in ("test", "validation", "train")] == [0.1, 0.2, 0.7]
+
+
+def test_histories_of_turns(spark):
+    frame = lambda v: [("s", {"slot": [v]})]
+    rows = [(1, 2, "USER", "c", frame("y")), (1, 0, "USER", "a", frame("x")), (1, 1, "SYSTEM", "b", []), (1, 3, "USER", None, frame("y")), (2, 0, "USER", None, frame("none"))]
+    df = spark.createDataFrame(rows, "dialogue int, turn int, speaker string, utterance string, frames array<struct<service:string,slot_values:map<string,array<string>>>>")
+    got = sorted((r.dialogue, r.turn, r["values"], r.history) for r in structured.dialogue_slots(df).collect())
+    assert got == [(1, 0, ["x"], "USER: a"), (1, 2, ["y"], "USER: a\nSYSTEM: b\nUSER: c")]
 
 
 def test_u_spans_gives_every_turn(spark):
