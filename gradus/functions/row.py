@@ -7,7 +7,7 @@ that streams are independent, and the same in any SQL engine, but another permut
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,10 +35,18 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a variable that holds ``value``: inside it the value is read, not computed again for every item of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shuffled(items: Column, seed: Column) -> Column:
     """The items in the order of SHA-1(seed:place)."""
-    keyed = F.transform(items, lambda v, i: F.struct(sha1(F.concat(seed, F.lit(":"), i.cast("string"))).alias("k"), i.alias("i"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda t: t["v"])
+    def by(s: Column) -> Column:
+        keyed = F.transform(items, lambda v, i: F.struct(sha1(F.concat(s, F.lit(":"), i.cast("string"))).alias("k"), i.alias("i"), v.alias("v")))
+        return F.transform(F.array_sort(keyed), lambda t: t["v"])
+
+    return bound(seed, by)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

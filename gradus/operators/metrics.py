@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bins of the calibration error, and cut-offs of the threshold sweep in steps of 0.05.
 BINS, STEPS = 15, 20
+#: Ranges of scores from 0 to 1 that are ordered apart; scores beyond go to the outer ranges.
+RANGES = 4096
 
 
 def first_max(x: Column) -> Column:
@@ -73,10 +75,17 @@ def best_f1(sweep: DataFrame) -> DataFrame:
 
 
 def average_precision(binary: DataFrame, keys: tuple[str, ...], p: str = "p", gold: str = "gold") -> DataFrame:
-    """Area under precision by recall, equal scores in one step. The steps are as many as distinct scores; equal ones are summed first."""
+    """Area under precision by recall, equal scores in one step. Equal scores are summed first; steps are ordered inside ranges of the score, and
+    what the higher ranges of a key hold is added from their sums, at most ``RANGES`` rows a key, so that no key is one task's."""
     per = binary.groupBy(*keys, p).agg(F.count("*").alias("m"), F.sum(F.col(gold).cast("long")).alias("pos"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(p))
-    run = per.withColumns({"up": F.sum("m").over(down), "tp": F.sum("pos").over(down)})
+    per = per.withColumn("a_range", F.least(F.greatest(F.floor(F.col(p) * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    higher = Window.partitionBy(*keys).orderBy(F.desc("a_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.groupBy(*keys, "a_range").agg(F.sum("m").alias("a_m"), F.sum("pos").alias("a_pos"))
+    above = sums.select(*keys, "a_range", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_up") for c in ("a_m", "a_pos")])
+    down = Window.partitionBy(*keys, "a_range").orderBy(F.desc(p))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, "a_range")]
+    met = per.alias("l").join(above.alias("r"), same).select("l.*", "r.a_m_up", "r.a_pos_up")
+    run = met.withColumns({"up": F.sum("m").over(down) + F.col("a_m_up"), "tp": F.sum("pos").over(down) + F.col("a_pos_up")})
     return run.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum("pos").alias("n_pos"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("up")), F.sum("pos")).alias("average_precision"))
 
 

@@ -15,16 +15,20 @@ def evidence(df: DataFrame, context: Column, question: Column, spans: Column, mo
     same text that hold no answer, in seeded order. Spans that the text does not have at their place are left out; rows without a good span,
     a question, a sentence around an answer, or any other sentence are dropped."""
     good = F.filter(spans, lambda s: (F.trim(s["text"]) != "") & (s["start"] >= 0) & (F.substring(context, s["start"] + 1, F.length(s["text"])) == s["text"]))
-    seed = F.concat(context, question)
-    cut = df.withColumns({"e_spans": good, "e_parts": parse.fragments(context), "e_seed": seed}).where((F.size("e_spans") > 0) & (F.trim(question) != ""))
-    answers = F.transform("e_spans", lambda s: F.lower(F.trim(s["text"])))
-    holding = F.filter("e_parts", lambda f: F.exists("e_spans", lambda s: parse.holds_span(f, s["start"], s["text"])))
-    others = F.filter("e_parts", lambda f: (f["text"] != "") & ~F.exists("e_answers", lambda a: F.contains(F.lower(f["text"]), a)))
-    made = cut.withColumn("e_answers", answers).withColumns({"e_right": F.get(F.transform(holding, lambda f: f["text"]), F.lit(0)), "e_wrong": F.slice(row.shuffled(F.array_distinct(F.transform(others, lambda f: f["text"])), F.col("e_seed")), 1, most)})
-    made = made.where(F.col("e_right").isNotNull() & (F.size("e_wrong") > 0))
-    texts = row.shuffled(F.concat(F.array("e_right"), F.col("e_wrong")), F.concat(F.lit("options:"), F.col("e_seed")))
-    made = made.withColumn("texts", texts).withColumn("place", F.array_position("texts", F.col("e_right")).cast("int"))
-    return made.drop("e_spans", "e_parts", "e_seed", "e_answers", "e_right", "e_wrong")
+    seed = row.sha1(F.concat(context, question))  # short, as it is hashed again for every sentence
+
+    def picked(r: Column) -> Column:
+        told = F.filter(r["parts"], lambda f: F.exists(r["spans"], lambda s: parse.holds_span(f, s["start"], s["text"])))
+        answers = F.transform(r["spans"], lambda s: F.lower(F.trim(s["text"])))
+        others = row.bound(answers, lambda own: F.filter(r["parts"], lambda f: (f["text"] != "") & ~row.bound(F.lower(f["text"]), lambda t: F.exists(own, lambda a: F.contains(t, a)))))
+        wrong = row.shuffled(F.array_distinct(F.transform(others, lambda f: f["text"])), r["seed"])
+        return F.struct(F.get(F.transform(told, lambda f: f["text"]), F.lit(0)).alias("right"), F.slice(wrong, 1, most).alias("wrong"), r["seed"].alias("seed"))
+
+    # one array of at most one struct, exploded: what is kept is told without computing it twice
+    made = F.transform(F.array(F.struct(good.alias("spans"), parse.fragments(context).alias("parts"), seed.alias("seed"))), picked)
+    found = df.where(F.trim(question) != "").select("*", F.explode(F.filter(made, lambda x: x["right"].isNotNull() & (F.size(x["wrong"]) > 0))).alias("e_found"))
+    texts = row.shuffled(F.concat(F.array("e_found.right"), F.col("e_found.wrong")), F.concat(F.lit("options:"), F.col("e_found.seed")))
+    return found.withColumn("texts", texts).withColumn("place", F.array_position("texts", F.col("e_found.right")).cast("int")).drop("e_found")
 
 
 def table_cells(df: DataFrame, table_id: str, table: Column, most: int = 3, longest: int = 200) -> DataFrame:

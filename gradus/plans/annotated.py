@@ -190,7 +190,7 @@ _ORDER = """with l as (select l_orderkey, cast(l_linenumber as varchar) a, cast(
 t as (select l_orderkey, count(*) m, case when count(distinct c) = count(*) then 2 when count(distinct a) = count(*) then 0 when count(distinct b) = count(*) then 1 end as key, string_agg(a || ' | ' || b || ' | ' || c, chr(10) order by ln, b, c) body from l group by 1 having count(*) between 2 and 39)"""
 
 SQL = {
-    "c_evidence": r"""with e as (select doc_id, text || 'Where is it said?' seed, w[10] a, length(array_to_string(w[1:9], ' ')) + 1 s, string_split(regexp_replace(text, '([.!?])(\s+)([А-ЯЁA-Z0-9])|(\n+)', '\1\2\4' || chr(1) || '\3', 'g'), chr(1)) f
+    "c_evidence": r"""with e as (select doc_id, sha1(text || 'Where is it said?') seed, w[10] a, length(array_to_string(w[1:9], ' ')) + 1 s, string_split(regexp_replace(text, '([.!?])(\s+)([А-ЯЁA-Z0-9])|(\n+)', '\1\2\4' || chr(1) || '\3', 'g'), chr(1)) f
 from (select doc_id, text, string_split(text, ' ') w from documents) where len(w) >= 10 and trim(w[10]) <> ''),
 p as (select doc_id, s, a, unnest(f) part, unnest(range(len(f))) i from e), q as (select *, regexp_replace(part, '^\s+|\s+$', '', 'g') t, sum(length(part)) over (partition by doc_id order by i) till from p),
 r as (select doc_id, arg_min(t, i) t from q where s >= till - length(part) and s + length(a) <= till group by 1), o as (select doc_id, t, min(i) i from q where t <> '' and not contains(lower(t), lower(trim(a))) group by 1, 2),
