@@ -34,7 +34,9 @@ def evidence(df: DataFrame, context: Column, question: Column, spans: Column, mo
 def table_cells(df: DataFrame, table_id: str, table: Column, most: int = 3, longest: int = 200) -> DataFrame:
     """Rows (table_id, row, column, header, key_header, name, answer, others): up to ``most`` cells of each plain table, in seeded order, that
     its key column names; others are the column's cells in other rows."""
-    parsed = df.withColumn("t_plain", parse.plain_table(table)).where("t_plain is not null").withColumn("t_key", parse.key_column(F.col("t_plain"))).where("t_key is not null")
+    # exploded arrays of one or none: what is null goes without being computed twice
+    there = lambda c: F.explode(F.filter(F.array(c), lambda x: x.isNotNull()))
+    parsed = df.select(table_id, there(parse.plain_table(table)).alias("t_plain")).select("*", there(parse.key_column(F.col("t_plain"))).alias("t_key"))
     rows, cell = F.col("t_plain")["rows"], lambda line, j: F.element_at(line, j + 1)
     places = F.flatten(F.transform(rows, lambda line, i: F.transform(line, lambda v, j: F.struct(i.alias("row"), j.alias("column"), v.alias("answer")))))
     asked = F.filter(places, lambda c: (c["column"] != F.col("t_key")) & (c["answer"] != "") & (F.length(c["answer"]) <= longest))
