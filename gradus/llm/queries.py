@@ -1,11 +1,15 @@
-"""The queries of the ten operators and their SQL. A query applies its operator, with production parameters, to its whole table."""
+"""The queries of the operators and their SQL. A query applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chaining, chat, mixing, quality_model, rules, secret_scan, simhash, suffix_dedup, topk
+from gradus.llm import bpe, chaining, chat, clustering, collocations, mixing, quality_model, rules, secret_scan, sharding, simhash, suffix_dedup, topk
+from gradus.llm.store import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +94,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_classifier, op7_substring_chaining, op8_source_mix, op9_secret_scan, op10_quality_rules)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt, centroids = clustering.clusters(table(spark, sf_dir, "embeddings"))
+    named = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    sums = {r.cluster: int(r.n) for r in dealt.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("n")).collect()}  # a row for each centroid
+    of = lambda values: F.element_at(F.array(*map(F.lit, values or [None])), F.col("cluster") + 1)
+    inertia = of([sums.get(c, 0) for c in range(len(named))]).cast("long").alias("cluster_inertia")
+    return dealt.select("vec_id", "cluster", "distance", inertia, F.lit(sum(sums.values())).cast("long").alias("inertia"), of(named).cast("string").alias("centroid_sha256"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    laid = sharding.sharded(docs, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    return laid.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_exact_top_k, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_classifier, op7_substring_chaining, op8_source_mix, op9_secret_scan, op10_quality_rules, op11_centroid_clustering, op12_sharding, op13_phrase_collocations)}
 
 SQL: dict[str, str] = {}
 
@@ -212,3 +235,60 @@ SELECT doc_id, {counts}, sha256({listed(" FILTER (rank < 3)")}) AS base_sha256,
 
 
 SQL["op9_secret_scan"] = _secrets_sql()
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Each round as two steps: the nearest centroid of every vector, the floors of the means."""
+    steps = [f"""
+WITH own AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY key NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS key, v FROM own) QUALIFY row_number() OVER (ORDER BY key NULLS LAST, v) <= {k}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (
+  SELECT own.n, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (own.v[i] - c{i}.v[i]) * (own.v[i] - c{i}.v[i]))) AS BIGINT) AS d FROM own CROSS JOIN c{i}
+), a{i} AS MATERIALIZED (SELECT n, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, list(m ORDER BY i) AS v FROM (
+    SELECT c, i, CAST(sum(x) - (sum(x) % count(*) + count(*)) % count(*) AS HUGEINT) // count(*) AS m FROM (SELECT a{i}.c, unnest(own.v) AS x, unnest(range(1, 65)) AS i FROM a{i} JOIN own USING (n)) GROUP BY c, i
+  ) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    last = f"a{rounds}"
+    return ", ".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM {last} JOIN own USING (n) JOIN c{rounds} USING (c)
+"""
+
+
+SQL["op11_centroid_clustering"] = _clusters_sql()
+
+# Counts of all phrases of one to three words within pieces; HUGEINT holds the products.
+SQL["op13_phrase_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents
+), listed AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM piece),
+grams AS (
+  SELECT lang, m AS words, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM listed, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)
+), counts AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE words = 1 GROUP BY lang),
+often AS (SELECT * FROM counts WHERE f >= 10),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[: k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, words - 1)) AS k FROM often WHERE words > 1)
+), scored AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, CAST(a::HUGEINT * a * 1000000 // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN often l ON l.lang = c.lang AND l.phrase = c.first JOIN often r ON r.lang = c.lang AND r.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, p AS phrase, max(f) AS longer FROM (
+    SELECT lang, f, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS p FROM (SELECT lang, f, string_split(phrase, ' ') AS w FROM often WHERE words = 3)
+  ) GROUP BY ALL
+), left_ AS (SELECT s.* FROM scored s LEFT JOIN inner_ i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

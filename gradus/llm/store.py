@@ -29,6 +29,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``settle`` has written; nothing may read it later."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that ``settle`` has written in this application."""
     jvm = spark.sparkContext._jvm
