@@ -73,7 +73,7 @@ def _parts(text: bytes, most: int) -> Iterator[bytes]:
     yield folded[at:]
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[tuple[list[tuple[str, bytes]], np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[tuple[str, bytes]], np.ndarray]]:
     """(words with their languages by code, codes with -1 between pieces) of some megabytes of text at a time, from batches (lang, text BINARY)."""
     known, langs, held, size = [], {}, [], 0
     for batch in _chunks(batches, "text", most):
@@ -136,14 +136,14 @@ def _has(bits: np.ndarray, hashes: np.ndarray, low: int) -> np.ndarray:
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _hashed(texts: DataFrame, length: int, least: int, bits: np.ndarray | None) -> DataFrame:
+def _hashed(texts: DataFrame, length: int, least: int, bits: np.ndarray | None, shard: int) -> DataFrame:
     """Rows (x): a hash, in its low bits the count, of each string of ``length`` in a shard whose prefix and suffix may be frequent. The first time
     words come along."""
     low = least.bit_length()
     shared = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for known, codes in shards(batches):
+        for known, codes in shards(batches, shard):
             found = Automaton(codes, len(known), length)
             hashes = found.hashes(_word_hashes(known))
             for n in range(length) if shared is None else [length - 1]:
@@ -171,12 +171,12 @@ def _bits(hashed: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _listed(texts: DataFrame, depth: int, least: int, bits: np.ndarray) -> DataFrame:
+def _listed(texts: DataFrame, depth: int, least: int, bits: np.ndarray, shard: int) -> DataFrame:
     """Rows (lang, phrase BINARY, words, n): the strings of each shard that may be frequent; without a phrase, how many words a language has there."""
     shared, low = texts.sparkSession.sparkContext.broadcast(bits), least.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for known, codes in shards(batches):
+        for known, codes in shards(batches, shard):
             found = Automaton(codes, len(known), depth)
             hashes = found.hashes(_word_hashes(known))
             langs, spelt = [lang for lang, _ in known], [word for _, word in known]
@@ -201,21 +201,21 @@ def _rows(langs: list, phrases: list, words: int, counts: list) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
 
 
-def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Rows (lang, phrase, words, n) of all phrases of up to ``depth`` words that a language has ``least`` times; those without a phrase count the language's
     words. The table is written in the shared folder."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     bits = None
     for length in range(min(2, depth), depth + 1):
-        new = _bits(_hashed(texts, length, least, bits), least)
+        new = _bits(_hashed(texts, length, least, bits, shard), least)
         bits = new if bits is None else bits | new
-    rows = _listed(texts, depth, least, bits).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    rows = _listed(texts, depth, least, bits, shard).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return settle(rows.where(F.col("phrase").isNull() | (F.col("n") >= least)).withColumn("phrase", F.col("phrase").cast("string")))
 
 
-def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two to ``depth`` words that no longer one stands for."""
-    table = counted(docs, depth, least, lang_col, text_col)
+    table = counted(docs, depth, least, lang_col, text_col, shard)
     known = table.where("phrase is not null")
     of = lambda name, n: known.select(F.col("lang").alias(f"{name}_lang"), F.col("phrase").alias(f"{name}_phrase"), F.col("n").alias(n))
     on = lambda name: (F.col("lang") == F.col(f"{name}_lang")) & (F.col(name) == F.col(f"{name}_phrase"))
