@@ -7,8 +7,8 @@ often as its link is of the link's state. The automaton then lists its strings w
 
 Texts are read once for each length and once more:
 
-1. For a length, the shards send a 64-bit hash and a small count of each string whose prefix and link may be frequent. Spark adds
-   them up; hashes with ``least`` or more set a bit of a filter of fixed size (FILTER bits, 16 MB), which goes to all tasks. Counts that are sent end at
+1. For a length, tasks send a hash and a small count of each string whose prefix and link may be frequent, in sorted blocks by bins of hashes. A bin's are
+   added up; hashes with ``least`` or more set a bit of a filter of fixed size (FILTER bits, 16 MB), which goes to all tasks. Counts that are sent end at
    a number over ``least``: a sum that reaches ``least`` does so either way.
 2. The last time, the shards send the strings themselves where the filter has their bit, with whole counts. Their sums are exact: what shares a
    hash costs a row and is then left out.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.llm.bpe import _chunks
-from gradus.llm.chaining import _mixed
+from gradus.llm.chaining import BLOCKS, _blocks, _by_part, _gathered, _groups, _mixed
 from gradus.llm.store import settle
 
 DEPTH, LEAST, TOP = 3, 10, 2000
@@ -40,6 +40,8 @@ DEPTH, LEAST, TOP = 3, 10, 2000
 SHARD = 1 << 22
 #: Bits of the filter.
 FILTER = 1 << 27
+#: Bits of a hash that are counted, strings whose hashes are put together before they are sent, and bins of hashes for each partition of a shuffle.
+HASH, HELD, BINS = 44, 1 << 22, 4
 #: Shares of a language that are ranked by themselves first.
 SHARES = 64
 
@@ -131,49 +133,69 @@ def _word_hashes(known: list[tuple[str, bytes]]) -> np.ndarray:
     return np.array([xxh3_64_intdigest(lang.encode() + b"\0" + word) for lang, word in known], np.uint64)
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray, low: int) -> np.ndarray:
-    at = ((hashes >> np.uint64(low)) % np.uint64(FILTER)).astype(np.int64)
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = ((hashes >> np.uint64(64 - HASH)) % np.uint64(FILTER)).astype(np.int64)
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _hashed(texts: DataFrame, length: int, least: int, bits: np.ndarray | None, shard: int) -> DataFrame:
-    """Rows (x): a hash, in its low bits the count, of each string of ``length`` in a shard whose prefix and suffix may be frequent. The first time
-    words come along."""
+def _hashed(texts: DataFrame, length: int, least: int, bits: np.ndarray | None, shard: int, bins: int) -> DataFrame:
+    """Rows (part, kind, data): by bin the sorted hashes, each with its count in the low bits, of the strings of ``length`` whose prefix and suffix may be
+    frequent. The first time words come along."""
     low = least.bit_length()
     shared = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
 
+    def block(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held))
+        first, _ = _groups(x >> np.uint64(low))
+        count = np.minimum(np.add.reduceat((x & np.uint64((1 << low) - 1)).astype(np.int64), first), (1 << low) - 1) if len(x) else np.zeros(0, np.int64)
+        x = x[first] >> np.uint64(low) << np.uint64(low) | count.astype(np.uint64)
+        return _blocks((x >> np.uint64(low)) * np.uint64(bins) >> np.uint64(HASH), 0, x)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for known, codes in shards(batches, shard):
             found = Automaton(codes, len(known), length)
             hashes = found.hashes(_word_hashes(known))
             for n in range(length) if shared is None else [length - 1]:
                 h, count = hashes[n], found.count[n]
                 if shared is not None:
-                    good = _has(shared.value, hashes[n - 1], low)
+                    good = _has(shared.value, hashes[n - 1])
                     good = good[found.prefix[n]] & good[found.link[n]]
                     h, count = h[good], count[good]
-                x = h >> np.uint64(low) << np.uint64(low) | np.minimum(count, (1 << low) - 1).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["x"])
+                held.append(h >> np.uint64(64 - HASH) << np.uint64(low) | np.minimum(count, (1 << low) - 1).astype(np.uint64))
+                size += len(h)
+            if size > HELD:
+                yield block(held)
+                held, size = [], 0
+        if held:
+            yield block(held)
 
-    return texts.mapInArrow(run, "x long")
+    return texts.mapInArrow(run, BLOCKS)
 
 
 def _bits(hashed: DataFrame, least: int) -> np.ndarray:
     """The filter of the hashes whose counts add up to ``least``: at most FILTER bits come to the driver."""
     low = least.bit_length()
-    h = F.shiftrightunsigned("x", low)
-    often = hashed.select(h.alias("h"), F.col("x").bitwiseAND(F.lit((1 << low) - 1)).alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.pmod("h", F.lit(FILTER)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (x,) in _by_part(batches, np.uint64):
+            x = np.sort(x)
+            first, _ = _groups(x >> np.uint64(low))
+            often = np.add.reduceat((x & np.uint64((1 << low) - 1)).astype(np.int64), first) >= least
+            yield pa.RecordBatch.from_arrays([pa.array((x[first[often]] >> np.uint64(low)).astype(np.int64) % FILTER)], names=["at"])
+
+    bit = F.col("at") + 1
     out = np.zeros(FILTER >> 3, np.uint8)
+    often = _gathered(hashed).mapInArrow(run, "at long")
     for row in often.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
         own = np.frombuffer(row.bits, np.uint8)
         out[(row.bucket - 1) * len(own) : row.bucket * len(own)] = own
     return out
 
 
-def _listed(texts: DataFrame, depth: int, least: int, bits: np.ndarray, shard: int) -> DataFrame:
+def _listed(texts: DataFrame, depth: int, bits: np.ndarray, shard: int) -> DataFrame:
     """Rows (lang, phrase BINARY, words, n): the strings of each shard that may be frequent; without a phrase, how many words a language has there."""
-    shared, low = texts.sparkSession.sparkContext.broadcast(bits), least.bit_length()
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for known, codes in shards(batches, shard):
@@ -185,7 +207,7 @@ def _listed(texts: DataFrame, depth: int, least: int, bits: np.ndarray, shard: i
                 totals[lang] = totals.get(lang, 0) + n
             yield _rows(list(totals), [None] * len(totals), 0, list(totals.values()))
             for n in range(depth):
-                own = np.flatnonzero(_has(shared.value, hashes[n], low))
+                own = np.flatnonzero(_has(shared.value, hashes[n]))
                 count, at, words = found.count[n][own].tolist(), own, []
                 for k in range(n, -1, -1):
                     words.append(found.word[k][at].tolist())
@@ -205,11 +227,11 @@ def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, lang_col: s
     """Rows (lang, phrase, words, n) of all phrases of up to ``depth`` words that a language has ``least`` times; those without a phrase count the language's
     words. The table is written in the shared folder."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    bits = None
+    bits, bins = None, min(BINS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << (64 - HASH))
     for length in range(min(2, depth), depth + 1):
-        new = _bits(_hashed(texts, length, least, bits, shard), least)
+        new = _bits(_hashed(texts, length, least, bits, shard, bins), least)
         bits = new if bits is None else bits | new
-    rows = _listed(texts, depth, least, bits, shard).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    rows = _listed(texts, depth, bits, shard).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return settle(rows.where(F.col("phrase").isNull() | (F.col("n") >= least)).withColumn("phrase", F.col("phrase").cast("string")))
 
 
