@@ -163,10 +163,12 @@ def fit_ordinal(of: np.ndarray, feature: np.ndarray, value: np.ndarray, grades:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of ``grade`` (0 to n_grades - 1, of the columns of ``labels``) from ``rows`` labelled texts at most, whatever stands for an id."""
+    """A model of ``grade`` (0 to n_grades - 1, of the columns of ``labels``) from ``rows`` labelled texts at most. Ids are of any type; those that are
+    no whole numbers are told by hash."""
     chosen = labels.select(F.col(id_col).alias("q_id"), grade.cast("int").alias("q_grade")).where("q_id is not null and q_grade is not null")
     chosen = chosen.orderBy(F.xxhash64("q_id"), "q_id", "q_grade").limit(rows)
-    texts = docs.select(F.col(id_col).alias("q_doc"), F.col(text_col).alias("q_text")).join(F.broadcast(chosen), F.col("q_doc") == F.col("q_id")).select("q_id", "q_grade", "q_text")
+    number = F.col("q_id").cast("long") if isinstance(labels.schema[id_col].dataType, T.IntegralType) else F.xxhash64("q_id")
+    texts = docs.select(F.col(id_col).alias("q_doc"), F.col(text_col).alias("q_text")).join(F.broadcast(chosen), F.col("q_doc") == F.col("q_id")).select(number.alias("q_number"), "q_grade", "q_text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, grades, lengths, feature, value = [], [], [], [], []
         for b in batches:
-            ids.append(b.column(0).cast(pa.int64(), safe=False).to_numpy() if pa.types.is_integer(b.column(0).type) else np.arange(len(b)))
+            ids.append(b.column(0).to_numpy())
             grades.append(b.column(1).to_numpy())
             lengths.append(np.diff(b.column(2).offsets.to_numpy()))
             feature.append(b.column(2).flatten().to_numpy())

@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-On a bounded random sample the order is built rule by rule: each rule that is left is run on the documents that
+Each task takes a bounded sample, the first texts that it reads. On it the order is built rule by rule: each rule that is left is run on the texts that
 the rules taken so far keep, with the measures that those have made at hand, which gives its cost (seconds) and the share that it
-rejects where it would run; the one with the most rejection per cost comes next. The cascade stops at a document's first rejection. The
-order changes the time only: a document is kept if no rule rejects it.
+rejects where it would run; the one with the most rejection per cost comes next. So a table is read once, and sources that differ get orders of
+their own. The cascade stops at a document's first rejection. The order changes the time only: a document is kept if no rule rejects it.
 
 Defined results: a null text is empty; words are runs of anything but the six ASCII white-space characters; rows are judged one by one, so
 repeated rows get equal results; texts of any length are judged in whole, the last resort being a worker's memory for one text; an empty
@@ -19,12 +19,11 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SYMBOLS, SPACES = b"#*$%&|<>", " \t\n\r\x0b\x0c"
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE = 500
+#: Texts of a task's sample, on which cost and selectivity are estimated.
+SAMPLE = 48
 
 
 class Text:
@@ -106,26 +105,19 @@ RULES = BASE + MORE
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) in the order of the cascade, of a Bernoulli sample of about ``sample`` texts, twice as many at most, taken in one task.
-    Figures are of the documents that the rules before keep."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
-        taken, left = [], list(rules)
-        while left:
-            found = []
-            for rule in left:
-                alive = [t for t in map(Text, texts) if not any(r.rejects(t) for r, *_ in taken)]
-                began = time.perf_counter()
-                rejected = sum(bool(rule.rejects(t)) for t in alive)
-                found.append((rule, (time.perf_counter() - began) / max(1, len(alive)), rejected / max(1, len(alive))))
-            taken.append(max(found, key=lambda f: f[2] / max(f[1], 1e-9)))
-            left.remove(taken[-1][0])
-        yield pa.RecordBatch.from_pydict({"name": [r.name for r, *_ in taken], "cost": [c for _, c, _ in taken], "share": [s for *_, s in taken]})
-
-    drawn = docs.select(F.col(text_col).alias("t")).sample(min(1.0, sample / max(1, docs.count())), seed=17).limit(2 * sample).coalesce(1)
-    return [(r.name, r.cost, r.share) for r in drawn.mapInArrow(run, "name string, cost double, share double").collect()]
+def estimate(texts: Sequence[str | None], rules: Sequence[Rule] = RULES) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) in the order of the cascade, of a sample of texts. Figures are of the texts that the rules before keep."""
+    taken, left = [], list(rules)
+    while left:
+        found = []
+        for rule in left:
+            alive = [t for t in map(Text, texts) if not any(r.rejects(t) for r, *_ in taken)]
+            began = time.perf_counter()
+            rejected = sum(bool(rule.rejects(t)) for t in alive)
+            found.append((rule, (time.perf_counter() - began) / max(1, len(alive)), rejected / max(1, len(alive))))
+        taken.append(max(found, key=lambda f: f[2] / max(f[1], 1e-9)))
+        left.remove(taken[-1][0])
+    return [(r.name, cost, share) for r, cost, share in taken]
 
 
 def ordered(rules: Sequence[Rule], estimates: Sequence[tuple[str, float, float]]) -> list[Rule]:
@@ -134,20 +126,19 @@ def ordered(rules: Sequence[Rule], estimates: Sequence[tuple[str, float, float]]
     return sorted(rules, key=lambda r: -worth.get(r.name, 0.0))
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", measures: Sequence[str] = (), estimates: Sequence[tuple] | None = None) -> DataFrame:
-    """``docs`` with kept BOOLEAN and the ``measures`` asked for. The order is that of ``estimate``, or by the given estimates of each rule alone."""
-    if estimates is None:
-        by_name = {r.name: r for r in rules}
-        order = [by_name[name] for name, *_ in estimate(docs, rules, text_col)] or list(rules)
-    else:
-        order = ordered(rules, estimates)
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", measures: Sequence[str] = (), estimates: Sequence[tuple] | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with kept BOOLEAN and the ``measures`` asked for. Each task goes by the order of its own sample, or all by the given estimates of each rule alone."""
     more = {**{m: T.LongType() for m in measures}, "kept": T.BooleanType()}
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in more], *[T.StructField(k, v) for k, v in more.items()]])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = None if estimates is None else ordered(rules, estimates)
         for batch in batches:
             rows = []
+            if order is None and len(batch):
+                by_name = {r.name: r for r in rules}
+                order = [by_name[name] for name, *_ in estimate(batch.column(text_col)[:sample].to_pylist(), rules)]
             for value in batch.column(text_col):
                 t = Text(value.as_py())
                 kept = not any(rule.rejects(t) for rule in order)
