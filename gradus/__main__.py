@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gradus.config import layered
 from gradus.operators import compare, metrics, selection, splits
-from gradus.sources import tables
+from gradus.sources import runs, tables
 
 #: Settings of the commands, for -s name=value.
 DEFAULTS = {"prepare": {"most": 25000}, "compare": {"metric": "accuracy", "higher": True}}
@@ -30,7 +30,11 @@ def command_line() -> argparse.ArgumentParser:
     for name, what in (("eval", "metrics of predictions (dataset, probs, label, benchmark)"), ("thresholds", "sweep over rows (p, gold)"), ("compare", "leaderboard of rows (entry, dataset, metrics, benchmark)")):
         own = commands.add_parser(name, help=what)
         own.add_argument("rows")
-        own.add_argument("path", nargs="?", help="where the result is written")
+        own.add_argument("path", nargs="?", help="where the result is written; of eval with --run, a folder of runs")
+        if name == "eval":
+            own.add_argument("--run", help="writes the metrics as <path>/<run>/<stage>-<part>.json")
+            own.add_argument("--stage", default="last")
+            own.add_argument("--part", default="test")
     return parser
 
 
@@ -63,7 +67,10 @@ def main(arguments: list[str] | None = None) -> None:
         out = metrics.thresholds(rows)
     else:
         out = compare.leaderboard(rows, **settings["compare"])
-    if args.path:
+    if args.command == "eval" and args.run:
+        told = out.withColumns({"run": F.lit(args.run), "stage": F.lit(args.stage)})
+        runs.save_metrics(told, args.path or ".", args.part, [c for c in out.columns if c != "dataset"])
+    elif args.path:
         out.write.parquet(args.path)
     else:
         out.show(1000, False)

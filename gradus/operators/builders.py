@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import row
+from gradus.operators import rings
 
 
 def sample(df: DataFrame, dataset: str, state: Column, question: Column, options: Column, label: Column, pos: Column, split: Column | None = None, group: Column | None = None) -> DataFrame:
@@ -62,26 +63,28 @@ def text_choice(rows: DataFrame, candidates: DataFrame, row_id: str, answer: str
     fresh = pairs.withColumn("t_h", h).withColumn("t_copy", F.row_number().over(Window.partitionBy(row_id, folded(F.col(candidate))).orderBy(*order, "t_h", candidate))).where("t_copy = 1")
     ranked = fresh.withColumn("t_n", F.row_number().over(Window.partitionBy(row_id).orderBy(*order, "t_h"))).where(F.col("t_n") <= most)
     wrong = ranked.groupBy(F.col(row_id).alias("t_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t_n", candidate))), lambda x: x[candidate]).alias("t_wrong"))
+    return _placed(rows.join(wrong, F.col(row_id) == F.col("t_id")), row_id, answer).drop("t_id", "t_wrong")
+
+
+def bounded_candidates(rows: DataFrame, pool: DataFrame, row_id: str, key: str, pool_id: str, candidate: str, circle: int = rings.CIRCLE, reach: int = 24) -> DataFrame:
+    """Pairs (row_id, from_id, candidate) of what :func:`rings.circled` draws; pairs grow with the rows, not with their square."""
+    drawn = rings.circled(rows.select(row_id, key), pool, row_id, key, pool_id, candidate, reach, circle)
+    return drawn.select(row_id, F.explode("drawn").alias("d")).select(row_id, F.col("d.id").alias("from_id"), F.col("d.entry").alias(candidate))
+
+
+def drawn_choice(rows: DataFrame, row_id: str, answer: str, drawn: Column, most: int = row.MAX_DISTRACTORS) -> DataFrame:
+    """As :func:`text_choice`, of candidates that each row has as a short array of texts."""
+    folded = lambda c: F.lower(F.trim(c))
+    keyed = F.transform(drawn, lambda c: F.struct(row.sha1(F.concat(F.lit("distractors:"), F.col(row_id).cast("string"), F.lit(":"), c)).alias("h"), c.alias("c"), folded(c).alias("f")))
+    good = F.array_sort(F.filter(keyed, lambda x: (F.trim(x["c"]) != "") & (x["f"] != folded(F.col(answer)))))
+    fresh = row.bound(good, lambda g: F.filter(g, lambda x, i: F.array_position(F.transform(g, lambda y: y["f"]), x["f"]) == i + 1))
+    made = rows.withColumn("t_wrong", F.transform(F.slice(fresh, 1, most), lambda x: x["c"])).where(F.size("t_wrong") > 0)
+    return _placed(made, row_id, answer).drop("t_wrong")
+
+
+def _placed(rows: DataFrame, row_id: str, answer: str) -> DataFrame:
     texts = row.shuffled(F.concat(F.array(answer), F.col("t_wrong")), F.concat(F.lit("options:"), F.col(row_id).cast("string")))
-    return rows.join(wrong, F.col(row_id) == F.col("t_id")).withColumn("texts", texts).withColumn("place", F.array_position("texts", F.col(answer)).cast("int")).drop("t_id", "t_wrong")
-
-
-def bounded_candidates(rows: DataFrame, pool: DataFrame, row_id: str, key: str, pool_id: str, candidate: str, circle: int = 1000, reach: int = 24) -> DataFrame:
-    """Pairs (row_id, from_id, candidate) of rows and pool entries with the same ``key``: not all of them, but for each row the ``reach`` entries
-    that follow a place of its own in the key's seeded order, in a circle, or all if there are fewer. A key with more than ``circle``
-    entries is dealt to as many circles as that asks for, by a hash, so that a key with a third of all rows is spread; pairs grow with the
-    rows, not with their square. Every key that has entries gives some to each of its rows."""
-    number = lambda c: F.conv(F.substring(row.sha1(c), 1, 15), 16, 10).cast("long")
-    shares = pool.groupBy(F.col(key).alias("s_key")).agg(F.ceil(F.count("*") / circle).cast("long").alias("b_shares"))
-    placed = pool.select(key, pool_id, candidate).join(shares, F.col(key) == F.col("s_key")).withColumns({"b_share": F.pmod(number(F.col(pool_id).cast("string")), F.col("b_shares")), "b_h": row.sha1(F.col(pool_id).cast("string"))})
-    placed = placed.withColumn("b_at", F.row_number().over(Window.partitionBy(key, "b_share").orderBy("b_h", pool_id)) - 1)
-    sizes = placed.groupBy(F.col(key).alias("z_key"), F.col("b_share").alias("z_share")).agg(F.count("*").alias("z_n"))
-    mine = rows.select(F.col(row_id), F.col(key).alias("b_key")).join(shares, F.col("b_key") == F.col("s_key")).withColumn("b_mine", F.pmod(number(F.col(row_id).cast("string")), F.col("b_shares")))
-    mine = mine.join(sizes, (F.col("b_key") == F.col("z_key")) & (F.col("b_mine") == F.col("z_share")))
-    step = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(reach).cast("long"), F.col("z_n"))))
-    start = F.pmod(number(F.concat(F.col(row_id).cast("string"), F.lit(":at"))), F.col("z_n"))
-    mine = mine.select(row_id, "b_key", "b_mine", "z_n", start.alias("b_start"), step.alias("b_step")).withColumn("b_want", F.pmod(F.col("b_start") + F.col("b_step"), F.col("z_n")))
-    return mine.join(placed, (F.col("b_key") == F.col(key)) & (F.col("b_mine") == F.col("b_share")) & (F.col("b_want") == F.col("b_at"))).select(row_id, F.col(pool_id).alias("from_id"), candidate)
+    return rows.withColumn("texts", texts).withColumn("place", F.array_position("texts", F.col(answer)).cast("int"))
 
 
 def own_options(df: DataFrame, dataset: str, state: Column, question: Column, texts: Column, place: Column, pos: Column, **more) -> DataFrame:
@@ -93,11 +96,10 @@ def own_options(df: DataFrame, dataset: str, state: Column, question: Column, te
 
 def pool_choice(rows: DataFrame, row_id: str, key: str, answer: str, split: str = "split", most: int = row.MAX_DISTRACTORS) -> DataFrame:
     """``rows`` with texts and place: the answer among answers of train rows with the same key, so that no held-out answer is a wrong option.
-    The pool has each answer of a key once; candidates are those of :func:`bounded_candidates`."""
-    pool = rows.where(F.col(split) == "train").select(F.col(key).alias("p_key"), F.col(answer).alias("p_answer")).distinct()
-    keyed = rows.select(row_id, F.col(key).alias("p_key"))
-    pairs = bounded_candidates(keyed, pool.withColumn("p_id", F.col("p_answer")), row_id, "p_key", "p_id", "p_answer")
-    return text_choice(rows, pairs.select(row_id, F.col("p_answer")), row_id, answer, "p_answer", most=most)
+    The pool has each answer of a key once; candidates are those of :func:`rings.circled`."""
+    pool = rows.where(F.col(split) == "train").select(key, F.col(answer).alias("p_answer")).distinct()
+    drawn = rings.circled(rows, pool, row_id, key, "p_answer", "p_answer", 24)
+    return drawn_choice(drawn, row_id, answer, F.transform("drawn", lambda d: d["entry"]), most).drop("drawn")
 
 
 def recorded(df: DataFrame, group: Column) -> DataFrame:

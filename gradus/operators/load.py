@@ -5,27 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradus.functions import row
+from gradus.operators.numbered import smallest
 
 
 def limited(samples: DataFrame, most: int) -> DataFrame:
     """Rows with two options or more; of a larger dataset the ``most`` of smallest hash of content."""
     h = row.sha1(F.concat(F.coalesce(F.nullif("state", F.lit("")), "question"), F.lit(":"), "question"))
-    own = Window.partitionBy("dataset")
-    kept = samples.where(F.size("options") >= 2).withColumn("l_n", F.row_number().over(own.orderBy(h, "pos")))
-    return kept.where(F.col("l_n") <= most).drop("l_n")
+    return smallest(samples.where(F.size("options") >= 2), ("dataset",), h, most, "pos")
 
 
 def capped_items(samples: DataFrame, most: int, fits: Column | None = None) -> DataFrame:
     """Of each dataset the ``most`` rows of smallest hash of content, and of these the ones with two options or more that fit: the cap comes first,
     so that every run scores rows out of the same ones."""
     h = row.sha1(F.concat(F.coalesce(F.nullif("state", F.lit("")), "question"), F.lit(":"), "question"))
-    kept = samples.withColumn("l_n", F.row_number().over(Window.partitionBy("dataset").orderBy(h, "pos"))).where(F.col("l_n") <= most).drop("l_n")
-    return kept.where((F.size("options") >= 2) & (F.lit(True) if fits is None else fits))
+    return smallest(samples, ("dataset",), h, most, "pos").where((F.size("options") >= 2) & (F.lit(True) if fits is None else fits))
 
 
 def weights(samples: DataFrame, alpha: float = 0.5) -> DataFrame:

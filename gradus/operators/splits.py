@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import row
+from gradus.operators.numbered import smallest
 
 #: Percent carved for each missing split from train, or for test and validation of data without train.
 CARVED, RESPLIT = 5, 10
@@ -52,7 +53,7 @@ def counts(samples: DataFrame) -> DataFrame:
 def cap(samples: DataFrame, most: int, split: str = "split") -> DataFrame:
     """At most ``most`` rows of each dataset and split, those of the smallest content hash; the source's order stays in pos."""
     content = row.sha1(F.concat_ws("\x1f", "state", "question", F.col("pos").cast("string")))
-    return samples.withColumn("c_n", F.row_number().over(Window.partitionBy("dataset", split).orderBy(content, "pos"))).where(F.col("c_n") <= most).drop("c_n")
+    return smallest(samples, ("dataset", split), content, most, "pos")
 
 
 def without_shared(samples: DataFrame, key: str, split: str = "split") -> DataFrame:

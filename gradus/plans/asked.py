@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import parse, row
 from gradus.operators import builders, compare, load, metrics, questions, relations
 from gradus.plans.queries import LANG_QUESTION, SQL_BUCKET, lang_samples, packed_sql, scores
-from gradus.sources import tables
+from gradus.sources import scratch, tables
 from gradus.sources.tables import table
 
 PHRASES = ["Is the {role} polite?", "Does the {role} agree?", "Would {role} say so again?"]
@@ -181,31 +179,23 @@ def r_lines(spark, sf_dir):
     return compare.text_rows(partial_scores(spark, sf_dir), columns).select("line")
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder where all tasks can write: in the shared one, or beside other scratch files in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or '/tmp/checkpoints'}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def s_csv(spark, sf_dir):
     """Suppliers written as text with separators and read again."""
-    path = _folder(spark, "csv")
+    path = scratch.folder(spark, "csv")
     table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('"a", '), "s_name").alias("name"), "s_acctbal").write.option("header", True).option("escape", '"').csv(path)
     return tables.separated(spark, path, "s_suppkey bigint, name string, s_acctbal double")
 
 
 def s_tsv(spark, sf_dir):
     """Names with quotes in them, separated by tabs, without quoting or a header."""
-    path = _folder(spark, "tsv")
+    path = scratch.folder(spark, "tsv")
     table(spark, sf_dir, "nation").select(F.concat_ws("\t", "n_nationkey", F.concat(F.lit('"'), "n_name")).alias("line")).write.text(path)
     return tables.separated(spark, path, "n_nationkey bigint, name string", sep="\t", header=False, quote="")
 
 
 def s_json_files(spark, sf_dir):
     """Turns as JSON lines, with the definitions of two of the roles beside them."""
-    path = _folder(spark, "json")
+    path = scratch.folder(spark, "json")
     table(spark, sf_dir, "conversations").write.json(f"{path}/lines")
     side = [("user", "asks"), ("assistant", "answers")]
     spark.createDataFrame(side, "role string, does string").agg(F.to_json(F.collect_list(F.struct("role", "does")), {"pretty": "true"}).alias("value")).write.text(f"{path}/side")

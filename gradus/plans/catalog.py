@@ -1,6 +1,6 @@
 """All queries of the library but those of the optional subpackage."""
 
-from gradus.plans import annotated, asked, queries
+from gradus.plans import annotated, asked, drawn, queries
 
-QUERIES = {**queries.QUERIES, **annotated.QUERIES, **asked.QUERIES}
-SQL = {**queries.SQL, **annotated.SQL, **asked.SQL}
+QUERIES = {**queries.QUERIES, **annotated.QUERIES, **asked.QUERIES, **drawn.QUERIES}
+SQL = {**queries.SQL, **annotated.SQL, **asked.SQL, **drawn.SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import row
-from gradus.operators import builders, compare, load, metrics, relations, splits
+from gradus.operators import builders, compare, load, metrics, relations, rings, splits
 from gradus.sources.tables import table
 
 LANGS = ("de", "en", "es", "fr")
@@ -192,9 +192,10 @@ def c_siblings(spark, sf_dir):
 def c_names(spark, sf_dir):
     """A part's name among names of parts of its brand, drawn from its brand's circles."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
-    pool = p.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other"))
-    pairs = builders.bounded_candidates(p.withColumn("brand", F.col("p_brand")), pool, "p_partkey", "brand", "other_key", "other").where("from_id <> p_partkey")
-    made = builders.text_choice(p, pairs.select("p_partkey", "other"), "p_partkey", "p_name", "other", most=5)
+    pool = p.select("p_brand", F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other"))
+    drawn = rings.circled(p, pool, "p_partkey", "p_brand", "other_key", "other", 24)
+    others = F.transform(F.filter("drawn", lambda d: d["id"] != F.col("p_partkey")), lambda d: d["entry"])
+    made = builders.drawn_choice(drawn, "p_partkey", "p_name", others, most=5)
     return made.select("p_partkey", F.size("texts").cast("long").alias("n_texts"), F.element_at("texts", F.col("place")).alias("answer"))
 
 
