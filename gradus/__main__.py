@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gradus.config import layered
+from gradus.config import layered, read
 from gradus.operators import compare, metrics, selection, splits
 from gradus.sources import runs, tables
 
@@ -18,7 +17,7 @@ DEFAULTS = {"prepare": {"most": 25000}, "compare": {"metric": "accuracy", "highe
 
 def command_line() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gradus")
-    parser.add_argument("-c", "--config", help="JSON file of settings")
+    parser.add_argument("-c", "--config", help="JSON or TOML file of settings")
     parser.add_argument("-s", "--set", action="append", default=[], metavar="NAME=VALUE")
     commands = parser.add_subparsers(dest="command", required=True)
     named = commands.add_parser("list", help="built datasets and their rows")
@@ -46,7 +45,7 @@ def prepared(samples, most: int):
 
 def main(arguments: list[str] | None = None) -> None:
     args = command_line().parse_args(arguments)
-    file = json.load(open(args.config)) if args.config else None
+    file = read(args.config) if args.config else None
     settings = layered(DEFAULTS, file, args.set)
     spark = SparkSession.builder.appName("gradus").getOrCreate()
     if args.command == "list":

@@ -65,8 +65,10 @@ def generator_shuffled(items: Column, seed: Column) -> Column:
     return F.transform(_drawn_places(seed, F.when(items.isNotNull(), F.size(items))), lambda i: F.get(items, i))
 
 
-def pick(versions: Sequence[str], seed: Column, salt: str = "question") -> Column:
-    """One of the phrasings, by salted seed."""
+def pick(versions: str | Sequence[str], seed: Column, salt: str = "question") -> Column:
+    """One of the phrasings, by salted seed; a single one that is given as a text."""
+    if isinstance(versions, str):
+        return F.lit(versions)
     return F.element_at(F.array(*[F.lit(v) for v in versions]), bucket(F.concat(F.lit(f"{salt}:"), seed), len(versions)) + 1)
 
 

@@ -52,6 +52,11 @@ def assembled(rows: DataFrame, longest: int, marks: Marks, state: str = "state",
     return made.withColumns({"ids": ids, "closes": F.when(F.col("c_state").isNotNull() & q.isNotNull(), closes)}).drop("c_room", "c_fits", "c_state")
 
 
+def skipped(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, n, skipped): how many rows of :func:`assembled` there are, and how many have no sequence, as not enough of them would be seen."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("ids").isNull()).alias("skipped"))
+
+
 def collated(rows: DataFrame, batch: str, order: str, pad: int = 0) -> DataFrame:
     """A row for each batch: rows ARRAY (the values of ``order``), width and slots (of its longest row and its widest one), and as arrays of arrays ids, there
     (1 where a token is), closes, open (true where an option is) and label, filled up with ``pad``, 0, 0, false and 0. Rows without ids are left out. A

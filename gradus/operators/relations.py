@@ -74,24 +74,26 @@ def without_contained(rows: DataFrame, row_id: str, text: str, items: DataFrame,
 
     A text that holds an item holds its inner words as whole words, so rows and items meet by a hash of the second to sixth word; items of fewer
     than seven words by as many as there are inside, items without an inner word by their first characters. Which lengths there are is at most
-    :data:`KEY_WORDS` + :data:`KEY_CHARS` + 1 numbers; for each the rows are read once. Only ids and hashes move, and what meets is looked at
+    :data:`KEY_WORDS` + :data:`KEY_CHARS` + 1 numbers; the rows are read once for all numbers of words and once for all numbers of characters. Only ids and hashes move, and what meets is looked at
     in the text, so that a hash that stands for two keys does no harm."""
     known = items.where(F.col(item).isNotNull()).select(F.col(item).alias("c_item")).distinct()
     known = known.select("c_item", F.split("c_item", r"\s+").alias("c_words")).withColumn("c_inner", F.least(F.size("c_words") - 2, F.lit(KEY_WORDS)))
     known = known.withColumn("c_size", F.when(F.col("c_inner") > 0, F.col("c_inner")).otherwise(-F.least(F.length("c_item"), F.lit(KEY_CHARS))))
-    met = []
-    for (size,) in known.select("c_size").distinct().collect():
-        own = known.where(F.col("c_size") == size)
-        if size > 0:
-            keys = own.select("c_item", F.xxhash64(*[F.get("c_words", F.lit(i + 1)) for i in range(size)]).alias("c_key"))
-            shifted = F.arrays_zip(*[(F.col("c_w") if i == 0 else F.slice("c_w", i + 1, 1 << 30)).alias(f"w{i}") for i in range(size)])
-            flat = rows.select(row_id, F.split(text, r"\s+").alias("c_w")).select(row_id, F.inline(shifted))
-            flat = flat.where(f"w{size - 1} is not null").select(row_id, F.xxhash64(*[f"w{i}" for i in range(size)]).alias("c_key"))
-        else:
-            keys = own.select("c_item", F.xxhash64(F.left("c_item", F.lit(-size))).alias("c_key"))
-            at = F.sequence(F.lit(1), F.greatest(F.length(text) + size + 1, F.lit(1)))
-            flat = rows.select(row_id, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(-size)))))).alias("c_key"))
-        met.append(flat.join(keys, "c_key").select(F.col(row_id).alias("c_id"), "c_item"))
+    sizes, met = sorted(r[0] for r in known.select("c_size").distinct().collect()), []
+    words, starts = [s for s in sizes if s > 0], [-s for s in sizes if s <= 0]
+    keyed = lambda size, made: F.struct(F.lit(size).alias("c_size"), made.alias("c_key"))
+    there = lambda keys: F.explode(F.array_compact(F.array(*keys))).alias("k")
+    first_words = [F.when(F.col("c_size") == s, F.xxhash64(*[F.get("c_words", F.lit(i + 1)) for i in range(s)])) for s in words]
+    first_chars = [F.when(F.col("c_size") == -s, F.xxhash64(F.left("c_item", F.lit(s)))) for s in starts]
+    keys = known.select("c_item", "c_size", F.coalesce(*first_words, *first_chars, F.lit(None).cast("long")).alias("c_key"))
+    if words:
+        shifted = F.arrays_zip(*[(F.col("c_w") if i == 0 else F.slice("c_w", i + 1, 1 << 30)).alias(f"w{i}") for i in range(words[-1])])
+        flat = rows.select(row_id, F.split(text, r"\s+").alias("c_w")).select(row_id, F.inline(shifted))
+        met.append(flat.select(row_id, there([F.when(F.col(f"w{s - 1}").isNotNull(), keyed(s, F.xxhash64(*[f"w{i}" for i in range(s)]))) for s in words])))
+    if starts:
+        flat = rows.select(row_id, F.col(text).alias("c_t"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) + 1 - starts[-1], F.lit(1)))).alias("c_at"))
+        met.append(flat.select(row_id, there([F.when((F.col("c_at") + s - 1 <= F.length("c_t")) & (F.lit(s > 0) | (F.col("c_at") == 1)), keyed(-s, F.xxhash64(F.substring("c_t", F.col("c_at"), F.lit(s))))) for s in starts])))
+    met = [own.select(F.col(row_id).alias("c_id"), "k.c_size", "k.c_key").join(keys, ["c_size", "c_key"]).select("c_id", "c_item") for own in met]
     if not met:
         return rows
     near = reduce(DataFrame.union, met).groupBy("c_id").agg(F.collect_set("c_item").alias("c_items"))

@@ -7,12 +7,14 @@ group's entries stand together, so that a row can jump over its own group. Tiers
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import row
 from gradus.operators.numbered import numbered
+from gradus.sources import scratch
 
 CIRCLE = 1000
 
@@ -70,15 +72,18 @@ def ringed(rows: DataFrame, pool: DataFrame, row_id: str, key: str, group: str,
 def tiered(rows: DataFrame, want: str, tiers: Sequence[Callable[[DataFrame], DataFrame]], fits: Callable[[Column], Column]) -> DataFrame:
     """``rows`` with found ARRAY<STRUCT<entry, tier>>: up to ``want`` different entries that fit, those of the first tier first. A tier is a function that
     adds drawn, as above; it gets only the rows that are still short. ``fits`` says of an entry whether the row may have it. A tier has to draw as many more as it may
-    have to leave: those that do not fit and those that the row has."""
-    full, short = None, rows.withColumn("found", F.array().cast("array<struct<entry:string,tier:int>>"))
+    have to leave: those that do not fit and those that the row has. What a tier but the last has
+    filled is written once, so that its rows are not drawn again for the next one."""
+    done, short = [], rows.withColumn("found", F.array().cast("array<struct<entry:string,tier:int>>"))
     for tier, draw in enumerate(tiers, 1):
         drawn = draw(short).withColumn("f_had", F.transform("found", lambda f: f["entry"]))
         new = F.array_distinct(F.transform("drawn", lambda d: d["entry"].cast("string")))
         new = F.filter(new, lambda e: fits(e) & ~F.array_contains("f_had", e))
         new = F.transform(F.slice(new, F.lit(1), F.greatest(F.col(want) - F.size("found"), F.lit(0))), lambda e: F.struct(e.alias("entry"), F.lit(tier).alias("tier")))
-        filled = drawn.withColumn("found", F.concat("found", new)).drop("drawn", "f_had")
-        enough = F.size("found") >= F.coalesce(want, F.lit(0))
-        done = filled.where(enough)
-        full, short = (done if full is None else full.unionByName(done)), filled.where(~enough)
-    return full.unionByName(short) if full is not None else short
+        short = drawn.withColumn("found", F.concat("found", new)).drop("drawn", "f_had")
+        if tier < len(tiers):
+            filled = scratch.written(short, "tier")
+            enough = F.size("found") >= F.coalesce(want, F.lit(0))
+            done.append(filled.where(enough))
+            short = filled.where(~enough)
+    return reduce(DataFrame.unionByName, [*done, short])

@@ -23,18 +23,16 @@ def regroup(samples: DataFrame) -> DataFrame:
 
     Of each content, told by a hash, the first row is taken by an aggregate, and the most held-out split of a group is one joined back: both are
     combined before anything moves, so that many copies or a large group are no single task's rows. The flags of which splits exist are
-    one row for each dataset; they are computed from keys alone."""
+    one row for each dataset, of the same rows that are kept, so that their shuffle serves both."""
     prio = F.when(F.col("split") == "test", 0).when(F.col("split") == "validation", 1).otherwise(2)
     key = row.group_key(F.col("group"), F.col("state"), F.col("question"))
     content = F.md5(F.to_json(F.struct("state", "question", "options", "label")).cast("binary"))
     keyed = samples.withColumn("from", F.col("split")).withColumn("split", canonical(F.col("split"))).withColumns({"prio": prio, "g_key": key, "content": content})
     first = F.struct("prio", "pos", "from", "g_key")
     home = keyed.groupBy("dataset", "g_key").agg(F.min("prio").alias("home"))
-    kept = keyed.groupBy("dataset", "content").agg(F.min(first).alias("k"))
     whole = keyed.groupBy("dataset", "content").agg(F.min_by(F.struct(*[c for c in keyed.columns if c not in ("dataset", "content")]), first).alias("r"))
     placed = whole.select("dataset", "content", "r.*").join(home, ["dataset", "g_key"])
-    there = kept.select("dataset", F.col("k.g_key").alias("g_key")).join(home, ["dataset", "g_key"])
-    there = there.groupBy("dataset").agg(*[F.max(F.when(F.col("home") == i, 1).otherwise(0)).alias(f"has_{s}") for i, s in enumerate(("test", "val", "train"))])
+    there = placed.groupBy("dataset").agg(*[F.max(F.when(F.col("home") == i, 1).otherwise(0)).alias(f"has_{s}") for i, s in enumerate(("test", "val", "train"))])
     b = row.bucket(row.held_out_key(F.col("group"), F.col("state"), F.col("question")))
     test_cut = F.when(F.col("has_test") == 0, CARVED).otherwise(0)
     target = (

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions import row
-from gradus.operators import collate, compare, metrics, numbered, policy, relations, rings, specs, splits, structured
+from gradus.functions import parse, row
+from gradus.operators import builders, collate, compare, metrics, numbered, policy, relations, requests, rings, specs, splits, structured
 from gradus.plans.annotated import SQL as ANNOTATED_SQL
 from gradus.plans.annotated import order_tables
 from gradus.plans.queries import SQL as QUERY_SQL
-from gradus.plans.queries import LANG_QUESTION, LANGS, SQL_BUCKET, SQL_SPLIT, lang_samples
+from gradus.plans.queries import LANG_QUESTION, LANGS, SQL_BUCKET, SQL_REGROUP, SQL_SPLIT, lang_samples
 from gradus.sources import runs, scratch, tables
 from gradus.sources.tables import table
 
@@ -32,7 +32,7 @@ def subjects(spark, sf_dir) -> DataFrame:
 def c_tiers(spark, sf_dir):
     """A subject's body among bodies of its queue, then of its language, in its split; one in five subjects comes without its body. Rows that both tiers leave
     short go. Bodies are told by hash."""
-    own = subjects(spark, sf_dir)
+    own = scratch.written(subjects(spark, sf_dir), "subjects")
     tiers = [lambda short, key=key: rings.circled(short, own.select(key, "body"), "doc_id", key, "body", "body", 8) for key in ("near", "far")]
     filled = rings.tiered(own, "want", tiers, lambda e: e != F.col("body")).where(F.size("found") == F.col("want"))
     wrong = F.transform("found", lambda f: f["entry"])
@@ -57,6 +57,19 @@ def p_sampled(spark, sf_dir):
     return numbered.sampled(own, 50).select(F.col("pos").alias("doc_id"), "split")
 
 
+def p_prepared(spark, sf_dir):
+    """Documents in the splits that they end in, then at most 50 of each."""
+    own = lang_samples(spark, sf_dir)
+    placed = splits.regroup(own).withColumn("split", F.col("target")).select(*own.columns)
+    return splits.cap(placed, 50).select(F.col("pos").alias("doc_id"), "split")
+
+
+def u_records(spark, sf_dir):
+    """Parts as records, whose group is that of their brand and type."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return builders.recorded(p, parse.content_group(F.col("p_brand"), F.col("p_type"))).select("payload.p_partkey", F.to_json("payload").alias("payload"), "group")
+
+
 def sizes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
 
@@ -143,6 +156,25 @@ def l_separate(spark, sf_dir):
     return collate.separate(made, "batch").select(F.col("row").alias("doc_id"), joined("ids").alias("ids"), joined("closes").alias("closes"), F.size("label").cast("long").alias("n_options"))
 
 
+def l_skipped(spark, sf_dir):
+    """How many sequences of each batch do not fit."""
+    return collate.skipped(collate.assembled(sequences(spark, sf_dir), 128, MARKS), "batch")
+
+
+def q_requests(spark, sf_dir):
+    """Documents as the states of requests, of which three in four are wrong in one of six ways."""
+    d = table(spark, sf_dir, "documents")
+    text = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    yes_no, choice = '{"a": {"type": "noul", "instructions": "Polite?"}}', '{"b": {"type": "choice", "instructions": "Which?", "criteria": {"de": "German", "en": null}}}'
+    one, odd = '{"b": {"type": "choice", "instructions": "Which?", "criteria": {"de": "German"}}}', '{"c": {"type": "score", "instructions": "How?"}}'
+    body = lambda state, asked, more="": F.concat(F.lit('{"state": '), state, F.lit(f', "questions": {asked}{more}}}'))
+    other = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang"), {"pretty": "true"})
+    kinds = [body(text, yes_no), body(other, choice), body(text, "{}"), body(text, one), body(text, yes_no, ', "model": "x"'), body(text, odd), F.lit(f'{{"questions": {yes_no}}}'), F.concat(F.lit('{"state": '), text)]
+    told = requests.checked(d.select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % 8 + 1).cast("int")).alias("body")))
+    rows = requests.asked_rows(told, "doc_id").select(F.col("doc_id").alias("r_id"), "name", F.sha1(F.col("state").cast("binary")).alias("state"), F.array_join("texts", "|").alias("texts"))
+    return told.select("doc_id", "error").join(rows, F.col("doc_id") == F.col("r_id"), "left").drop("r_id")
+
+
 def x_policy(spark, sf_dir):
     """Losses of made-up logits of languages, disturbed four times."""
     z = F.array(*[row.bucket(F.concat(F.col("doc_id").cast("string"), F.lit(f":{x}")), 101) / 50.0 for x in LANGS])
@@ -180,7 +212,7 @@ def c_specs(spark, sf_dir):
     return specs.compiled(SPECS, own).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.size("options")).alias("n_options"), F.sum(F.when(~F.col("dataset").isin("siblings", "pool"), right)).alias("places"), F.min("type").alias("type"))
 
 
-QUERIES = {f.__name__: f for f in (c_specs, c_tiers, c_shapes, p_sampled, l_batches, l_passes, s_built, s_members, s_json_lines, r_files, l_collated, l_separate, x_policy)}
+QUERIES = {f.__name__: f for f in (c_specs, c_tiers, c_shapes, p_sampled, p_prepared, u_records, l_batches, l_passes, s_built, s_members, s_json_lines, r_files, l_collated, l_separate, l_skipped, q_requests, x_policy)}
 
 _NUMBER = "cast('0x' || substr(sha1({0}), 1, 15) as bigint)".format
 
@@ -243,6 +275,12 @@ p as (select a.*, ids || list_transform(range(w - len(ids)), lambda i: 9) pi, li
 list_transform(range(m), lambda i: (i = doc_id % 2)::int) pl from a join w using (batch)) select batch, string_agg({_JOINED('pi')}, ',' order by doc_id) ids, string_agg({_JOINED('pt')}, ',' order by doc_id) there,
 string_agg({_JOINED('pc')}, ',' order by doc_id) closes, string_agg({_JOINED('po')}, ',' order by doc_id) as open, string_agg({_JOINED('pl')}, ',' order by doc_id) as label from p group by 1""",
     "l_separate": _SEQUENCES + f" select doc_id, {_JOINED('ids')} ids, {_JOINED('closes')} closes, k n_options from a",
+    "p_prepared": f"""with r as ({SQL_REGROUP}), n as (select doc_id, target split, row_number() over (partition by target order by sha1(text || chr(31) || '{LANG_QUESTION}' || chr(31) || doc_id), doc_id) n from r join documents using (doc_id))
+select doc_id, split from n where n <= 50""",
+    "u_records": """select p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","p_type":"' || p_type || '"}' payload, sha256('{"c0":"' || p_brand || '","c1":"' || p_type || '"}') as "group" from part""",
+    "l_skipped": _SEQUENCES + " select batch, count(*) n, count(*) filter (room < least(len(s), 18)) skipped from r group by 1",
+    "q_requests": """select doc_id, [null, null, 'no questions', 'a choice needs at least 2 criteria: b', 'unknown field', 'unknown type: c', 'no state', 'not JSON'][doc_id % 8 + 1] error, case doc_id % 8 when 0 then 'a' when 1 then 'b' end as name,
+case doc_id % 8 when 0 then sha1(text) when 1 then sha1('{"id":' || doc_id || ',"lang":"' || lang || '"}') end state, case doc_id % 8 when 0 then 'yes|no' when 1 then 'de: German|en' end texts from documents""",
     "x_policy": f"""with z as (select doc_id, list_position(['de', 'en', 'es', 'fr'], lang) gold, o, g, {SQL_BUCKET.format("doc_id || ':' || ['de', 'en', 'es', 'fr'][o]", 101)} / 50.0::double z, sha1('7:' || doc_id || ':' || g || ':' || o) h
 from documents, (select unnest(range(1, 5)) o), (select unnest(range(1, 5)) g)), n as (select *, {_NOISE} e from z), c as (select *, e - avg(e) over (partition by doc_id, g) d from n),
 q as (select *, exp(z + d - max_) / sum(exp(z + d - max_)) over v q from (select *, max(z + d) over (partition by doc_id, g) max_ from c) window v as (partition by doc_id, g)),
