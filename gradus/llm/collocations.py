@@ -10,8 +10,8 @@ Texts are read once for each length and once more:
 1. For a length, tasks send a hash and a small count of each string whose prefix and link may be frequent, in sorted blocks by bins of hashes. A bin's are
    added up; hashes with ``least`` or more set a bit of a filter of fixed size (FILTER bits, 16 MB), which goes to all tasks. Counts that are sent end at
    a number over ``least``: a sum that reaches ``least`` does so either way.
-2. The last time, the shards send the strings themselves where the filter has their bit, with whole counts. Their sums are exact: what shares a
-   hash costs a row and is then left out.
+2. The last time, tasks send the strings themselves where the filter has their bit, with whole counts, in sorted blocks by bins of strings. Their sums are
+   exact: what only shares a hash is sent in vain.
 
 The filter is a fixed number of bits: over far more frequent phrases than bits it lets everything pass, which costs rows to shuffle and no result. Candidates'
 parts are frequent too, so their counts are joined from the same table. A candidate goes where a longer one with half its count holds it; then
@@ -37,15 +37,17 @@ from gradus.llm.store import settle
 
 DEPTH, LEAST, TOP = 3, 10, 2000
 #: Bytes of text of an automaton, unless a piece is longer.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Bits of the filter.
 FILTER = 1 << 27
 #: Bits of a hash that are counted, strings whose hashes are put together before they are sent, and bins of hashes for each partition of a shuffle.
-HASH, HELD, BINS = 44, 1 << 22, 4
+HASH, HELD, BINS = 44, 3 << 20, 4
+#: Strings that are put together before they are sent, and how they are compressed.
+KEPT, CODEC = 3 << 18, "zstd"
 #: Shares of a language that are ranked by themselves first.
 SHARES = 64
 
-_BREAK = b"\xff"  # not a byte of UTF-8
+_BREAK, _END = b"\xff", b"\xfe"  # no bytes of UTF-8
 _FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + 10 * _BREAK)
 
 
@@ -193,34 +195,74 @@ def _bits(hashed: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _listed(texts: DataFrame, depth: int, bits: np.ndarray, shard: int) -> DataFrame:
-    """Rows (lang, phrase BINARY, words, n): the strings of each shard that may be frequent; without a phrase, how many words a language has there."""
+def _listed(texts: DataFrame, depth: int, bits: np.ndarray, shard: int, bins: int) -> DataFrame:
+    """Rows (part, n, size, data): by bin the counts of the strings that may be frequent, and these, in order, compressed. A string begins with its language
+    and a mark; without a phrase after it, it counts how many words the language has."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
+    def blocks(held: dict[bytes, int]) -> pa.RecordBatch:
+        from xxhash import xxh3_64_intdigest
+
+        keys = sorted(held)
+        part = np.fromiter((xxh3_64_intdigest(k) % bins for k in keys), np.int64, len(keys))
+        order = np.argsort(part, kind="stable")
+        starts, sizes = _groups(part[order])
+        data = []
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            own = [keys[i] for i in order[a : a + n].tolist()]
+            data.append(np.fromiter((held[k] for k in own), np.int64, n).tobytes() + _BREAK.join(own))
+        held.clear()
+        columns = [pa.array(part[order][starts]), pa.array(sizes, pa.int32()), pa.array(list(map(len, data)), pa.int32()), pa.array([pa.compress(d, CODEC, asbytes=True) for d in data], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "n", "size", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
         for known, codes in shards(batches, shard):
             found = Automaton(codes, len(known), depth)
             hashes = found.hashes(_word_hashes(known))
-            langs, spelt = [lang for lang, _ in known], [word for _, word in known]
-            totals: dict[str, int] = {}
-            for lang, n in zip(langs, found.count[0].tolist()):
-                totals[lang] = totals.get(lang, 0) + n
-            yield _rows(list(totals), [None] * len(totals), 0, list(totals.values()))
+            spelt, first = [word for _, word in known], [lang.encode() + _END + word for lang, word in known]
+            for (lang, _), n in zip(known, found.count[0].tolist()):
+                key = lang.encode() + _END
+                held[key] = held.get(key, 0) + n
             for n in range(depth):
-                own = np.flatnonzero(_has(shared.value, hashes[n]))
-                count, at, words = found.count[n][own].tolist(), own, []
+                at = own = np.flatnonzero(_has(shared.value, hashes[n]))
+                words = []
                 for k in range(n, -1, -1):
-                    words.append(found.word[k][at].tolist())
+                    words.append([(spelt if k else first)[i] for i in found.word[k][at].tolist()])
                     at = found.prefix[k][at]
-                phrases = [b" ".join([spelt[i] for i in p]) for p in zip(*words[::-1])]
-                yield _rows([langs[i] for i in words[0]], phrases, n + 1, count)
+                for key, count in zip(map(b" ".join, zip(*words[::-1])), found.count[n][own].tolist()):
+                    held[key] = held.get(key, 0) + count
+            if len(held) > KEPT:
+                yield blocks(held)
+        if held:
+            yield blocks(held)
+
+    return texts.mapInArrow(run, "part long, n int, size int, data binary")
+
 
-    return texts.mapInArrow(run, "lang string, phrase binary, words int, n long")
+def _summed(listed: DataFrame, least: int) -> DataFrame:
+    """Rows (lang, phrase BINARY, words, n) of the strings whose counts add up to ``least``."""
 
+    def rows(held: dict[bytes, int]) -> pa.RecordBatch:
+        often = [(*k.split(_END, 1), n) for k, n in held.items() if n >= least or k.endswith(_END)]
+        langs, phrases, counts = zip(*often) if often else ((), (), ())
+        columns = [pa.array(langs, pa.binary()), pa.array([p or None for p in phrases], pa.binary()), pa.array([p.count(b" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array(counts, pa.int64())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for part, n, size, data in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "size", "data"))):
+                if part != now and held:
+                    yield rows(held)
+                now, data = part, pa.decompress(data, size, CODEC, asbytes=True)
+                for key, count in zip(data[8 * n :].split(_BREAK), np.frombuffer(data, np.int64, n).tolist()):
+                    held[key] = held.get(key, 0) + count
+        if held:
+            yield rows(held)
 
-def _rows(langs: list, phrases: list, words: int, counts: list) -> pa.RecordBatch:
-    columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array([words] * len(langs), pa.int32()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+    return _gathered(listed).mapInArrow(run, "lang binary, phrase binary, words int, n long")
 
 
 def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -231,8 +273,8 @@ def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, lang_col: s
     for length in range(min(2, depth), depth + 1):
         new = _bits(_hashed(texts, length, least, bits, shard, bins), least)
         bits = new if bits is None else bits | new
-    rows = _listed(texts, depth, bits, shard).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return settle(rows.where(F.col("phrase").isNull() | (F.col("n") >= least)).withColumn("phrase", F.col("phrase").cast("string")))
+    rows = _summed(_listed(texts, depth, bits, shard, bins), least)
+    return settle(rows.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "words", "n"))
 
 
 def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> DataFrame:

@@ -178,7 +178,7 @@ def phrases(rows, depth, least, top):
 def test_phrases(spark, depth, least, top, shard):
     rng = random.Random(depth)
     words = ["a", "b", "Ab", "é", "É", "x\x1cy", "don't", "中文", " "]
-    rows = [(rng.choice(["en", "de", None, "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ". ", "\n", ",,", "  ", "\x0b", "!"]) for _ in range(rng.randrange(60)))) for _ in range(120)]
+    rows = [(rng.choice(["en", "d\x00e", None, "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ". ", "\n", ",,", "  ", "\x0b", "!"]) for _ in range(rng.randrange(60)))) for _ in range(120)]
     rows += [("en", None), (None, ""), ("fr", " \n.\t"), ("de", "a a a a " * 400), ("de", "long piece " * 200 + "."), ("en", rows[3][1]), ("en", rows[3][1])]
     docs = spark.createDataFrame([(l, t, 1, "z") for l, t in rows], "lang string, text string, n int, phrase string").repartition(3)
     got = sorted(tuple(r) for r in collocations.mined(docs, depth, least, top, shard=shard).collect())
