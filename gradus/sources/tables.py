@@ -111,7 +111,7 @@ def _streamed(archive: str, f: BinaryIO, suffix: str) -> Iterator[pa.RecordBatch
         with tarfile.open(fileobj=f, mode="r|*") as t:
             for x in t:
                 if x.isfile() and x.name.endswith(suffix):
-                    yield from _lines(archive, x.name, io.BufferedReader(t.extractfile(x)))
+                    yield from _lines(archive, x.name, io.BufferedReader(_Part(t.extractfile(x), x.size)))
 
 
 class _Part(io.RawIOBase):

@@ -175,6 +175,28 @@ def test_plain_tar_is_read_by_places(spark, tmp_path):
     assert got == [("one.txt", 0, "a"), ("one.txt", 1, "b"), ("sub/three.txt", 0, "é")]
 
 
+def test_archives_of_stores_that_tasks_cannot_open(spark, tmp_path, monkeypatch):
+    import gzip
+    import io
+    import tarfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.txt", "\ufeffa\nb")
+        z.writestr("x/two.bin", "no")
+    plain = io.BytesIO()
+    with tarfile.open(fileobj=plain, mode="w") as t:
+        info = tarfile.TarInfo("three.txt")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"c\xff\n"))
+    (tmp_path / "b.tar.gz").write_bytes(gzip.compress(plain.getvalue()))
+    (tmp_path / "c.tar").write_bytes(plain.getvalue())
+    read = lambda: Counter((r.member, r.line_no, r.line) for r in tables.members(spark, f"{tmp_path}/*", ".txt").collect())
+    by_place = read()
+    assert by_place == Counter({("x/one.txt", 0, "a"): 1, ("x/one.txt", 1, "b"): 1, ("three.txt", 0, "c\ufffd"): 2})
+    monkeypatch.setattr(tables, "SEEKABLE", ())
+    assert read() == by_place
+
+
 def test_builds_stand_beside_each_other(spark, tmp_path):
     path = str(tmp_path / "built")
     first = [("a", "train", i) for i in range(5)] + [("a", "test", 9)] + [("1", "train", i) for i in range(3)]
