@@ -13,6 +13,9 @@ from gradus.operators.metrics import first_max
 #: The query of a prompt, what stands for a cut, and the least number of tokens that a cut leaves.
 QUERY, CUT, LEAST = "Question: {question}\nOptions:\n{options}\nAnswer:", "\n...\n", 16
 
+#: What stands between words.
+APART = r"[^\p{L}\p{N}]+"
+
 
 def filled(template: Column, **values: Column) -> Column:
     """The template with each {name} replaced by the value of that name."""
@@ -74,15 +77,18 @@ def shaped(criteria: Column, probs: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), APART), lambda w: w != ""))
 
 
 def overlap_probs(state: Column, texts: Column) -> Column:
     """The baseline scorer: an option's share is 1 and the number of its different words that the state has."""
-    own = words(state)
-    raw = F.transform(texts, lambda t: F.size(F.array_intersect(words(t), own)) + F.lit(1.0))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x / total)
+    asked = F.transform(texts, words)
+    # a state's words are looked through once, for all options
+    common = lambda ts: row.bound(F.array_intersect(F.flatten(F.filter(ts, lambda t: t.isNotNull())), F.split(F.lower(state), APART)), lambda own: F.transform(ts, lambda t: F.size(F.array_intersect(t, own)) + F.lit(1.0)))
+    raw = row.bound(asked, common)
+    # what a lambda needs is bound: inside it, it would be computed again for every option
+    shares = lambda r: row.bound(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda x: x / total))
+    return row.bound(raw, shares)
 
 
 def logits(query: Column, keys: Column, scale: float, there: Column) -> Column:
