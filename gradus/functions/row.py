@@ -44,7 +44,7 @@ def shuffled(items: Column, seed: Column) -> Column:
     """The items in the order of SHA-1(seed:place)."""
     def by(s: Column) -> Column:
         keyed = F.transform(items, lambda v, i: F.struct(sha1(F.concat(s, F.lit(":"), i.cast("string"))).alias("k"), i.alias("i"), v.alias("v")))
-        return F.transform(F.array_sort(keyed), lambda t: t["v"])
+        return F.transform(F.sort_array(keyed), lambda t: t["v"])  # sort_array compares without a lambda, which array_sort calls for each pair
 
     return bound(seed, by)
 

@@ -76,7 +76,7 @@ def drawn_choice(rows: DataFrame, row_id: str, answer: str, drawn: Column, most:
     """As :func:`text_choice`, of candidates that each row has as a short array of texts."""
     folded = lambda c: F.lower(F.trim(c))
     keyed = F.transform(drawn, lambda c: F.struct(row.sha1(F.concat(F.lit("distractors:"), F.col(row_id).cast("string"), F.lit(":"), c)).alias("h"), c.alias("c"), folded(c).alias("f")))
-    good = F.array_sort(F.filter(keyed, lambda x: (F.trim(x["c"]) != "") & (x["f"] != folded(F.col(answer)))))
+    good = F.sort_array(F.filter(keyed, lambda x: (F.trim(x["c"]) != "") & (x["f"] != folded(F.col(answer)))))
     first_of = lambda g: row.bound(F.transform(g, lambda x: x["f"]), lambda fs: F.filter(g, lambda x, i: F.array_position(fs, x["f"]) == i + 1))
     wrong = F.transform(F.slice(row.bound(good, first_of), 1, most), lambda x: x["c"])
     # exploded from an array of one or none, so that rows are told without computing it twice

@@ -31,14 +31,23 @@ def circled(rows: DataFrame, pool: DataFrame, row_id: str, key: str, pool_id: st
     shares = pool.groupBy(F.col(key).alias("s_key")).agg(F.ceil(F.count("*") / circle).cast("long").alias("c_shares"))
     told = pool.select(F.col(key).alias("p_key"), F.struct(row.sha1(F.col(pool_id).cast("string")).alias("h"), F.col(pool_id).alias("id"), F.col(entry).alias("entry")).alias("e"))
     held = told.join(shares, F.col("p_key") == F.col("s_key")).withColumn("p_share", F.pmod(number(F.col("e.id").cast("string")), F.col("c_shares")))
-    ring = F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["id"].alias("id"), e["entry"].alias("entry")))
-    circles = held.groupBy("p_key", "p_share").agg(ring.alias("c_ring"))
-    mine = rows.join(shares, F.col(key) == F.col("s_key"), "left").withColumn("c_mine", F.pmod(number(F.col(row_id).cast("string")), F.col("c_shares")))
-    met = mine.join(circles, (F.col(key) == F.col("p_key")) & (F.col("c_mine") == F.col("p_share")), "left")
-    n = F.size("c_ring").cast("long")
-    start = F.pmod(number(F.concat(F.col(row_id).cast("string"), F.lit(":at"))), n)
-    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(reach).cast("long"), n))
-    drawn = row.bound(start, lambda s: F.transform(steps, lambda i: F.get("c_ring", F.pmod(s + i, n).cast("int"))))
+    ring = F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["id"].alias("id"), e["entry"].alias("entry")))
+    # a row meets a stretch of its circle, not all of it: twice the reach from each multiple of the reach on, or a small circle as it is
+    n, small = F.col("c_n"), F.col("c_n") <= 2 * reach
+    steps = lambda m: F.sequence(F.lit(0).cast("long"), m)
+    cut = F.transform(steps(F.floor((n - 1) / reach)), lambda b: F.struct(b.alias("c_block"), F.transform(steps(F.lit(2 * reach - 1).cast("long")), lambda i: F.get("c_ring", F.pmod(b * reach + i, n).cast("int"))).alias("c_ring")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("c_block"), F.col("c_ring")))
+    circles = held.groupBy("p_key", "p_share").agg(ring.alias("c_ring"), F.count("*").alias("c_n"))
+    blocks = circles.select("p_key", "p_share", F.inline(F.when(small, whole).otherwise(cut)))
+    sizes = held.groupBy(F.col("p_key").alias("n_key"), F.col("p_share").alias("n_share")).agg(F.count("*").alias("c_n"))
+    # dealt anew by row, as what follows is much work for rows that a scan may read in one task
+    mine = rows.repartition(F.col(row_id)).join(shares, F.col(key) == F.col("s_key"), "left").withColumn("c_mine", F.pmod(number(F.col(row_id).cast("string")), F.col("c_shares")))
+    mine = mine.join(sizes, (F.col(key) == F.col("n_key")) & (F.col("c_mine") == F.col("n_share")), "left")
+    mine = mine.withColumn("c_start", F.pmod(number(F.concat(F.col(row_id).cast("string"), F.lit(":at"))), n))
+    mine = mine.withColumn("c_at", F.when(small, F.lit(0).cast("long")).otherwise(F.floor(F.col("c_start") / reach)))
+    met = mine.join(blocks, (F.col(key) == F.col("p_key")) & (F.col("c_mine") == F.col("p_share")) & (F.col("c_at") == F.col("c_block")), "left")
+    start, width = F.col("c_start") - F.col("c_at") * reach, F.size("c_ring").cast("long")
+    drawn = F.transform(F.sequence(F.lit(1).cast("long"), F.least(F.lit(reach).cast("long"), n)), lambda i: F.get("c_ring", F.pmod(start + i, width).cast("int")))
     none = F.array().cast(met.schema["c_ring"].dataType)
     return met.select(*rows.columns, F.when(F.col("c_ring").isNull(), none).otherwise(drawn).alias("drawn"))
 

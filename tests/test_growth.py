@@ -1,8 +1,11 @@
 """What must not be computed again for every item, row or copy: it decides how the time of large tables grows."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import questions
+from gradus.operators import questions, rings
 
 
 def optimized(df) -> str:
@@ -17,3 +20,20 @@ def test_words_of_a_state_are_split_once(spark):
     whole = spark.createDataFrame([(1, rows[0][1], ["de: und", "en: the ere", "fr"])], "id long, state string, texts array<string>")
     assert whole.select(questions.overlap_probs(F.col("state"), F.col("texts")).alias("p")).first().p == [2 / 6, 3 / 6, 1 / 6]
     assert optimized(df).count("split(lower(") == 2  # the state's and the options'
+
+
+@pytest.mark.parametrize("entries", [1, 5, 14, 15, 300, 2500])
+def test_rows_meet_stretches_of_circles(spark, entries):
+    reach, sha1 = 7, lambda x: hashlib.sha1(str(x).encode()).hexdigest()
+    number = lambda x: int(sha1(x)[:15], 16)
+    pool = spark.range(entries).selectExpr("'a' as k", "id as e", "concat('t', id) as t")
+    rows = spark.createDataFrame([(i, "b" if i == 99 else None if i == 98 else "a") for i in range(100)], "r long, k string")
+    drawn = rings.circled(rows, pool, "r", "k", "e", "t", reach)
+    shares = -(-entries // 1000)
+    circles = [sorted((e for e in range(entries) if number(e) % shares == s), key=sha1) for s in range(shares)]
+    for r, k, got in drawn.collect():
+        ring = circles[number(r) % shares] if k == "a" else []
+        start = number(f"{r}:at") % len(ring) if ring else 0
+        assert [d.id for d in got] == [ring[(start + i) % len(ring)] for i in range(1, min(reach, len(ring)) + 1)]
+        assert [d.entry for d in got] == [f"t{d.id}" for d in got]
+    assert "c_block" in optimized(drawn)  # a row is joined to twice the reach at most, not to a whole circle
