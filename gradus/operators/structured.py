@@ -34,18 +34,24 @@ def evidence(df: DataFrame, context: Column, question: Column, spans: Column, mo
 def table_cells(df: DataFrame, table_id: str, table: Column, most: int = 3, longest: int = 200) -> DataFrame:
     """Rows (table_id, row, column, header, key_header, name, answer, others): up to ``most`` cells of each plain table, in seeded order, that
     its key column names; others are the column's cells in other rows."""
-    # exploded arrays of one or none: what is null goes without being computed twice
-    there = lambda c: F.explode(F.filter(F.array(c), lambda x: x.isNotNull()))
-    parsed = df.select(table_id, there(parse.plain_table(table)).alias("t_plain")).select("*", there(parse.key_column(F.col("t_plain"))).alias("t_key"))
-    rows, cell = F.col("t_plain")["rows"], lambda line, j: F.element_at(line, j + 1)
-    places = F.flatten(F.transform(rows, lambda line, i: F.transform(line, lambda v, j: F.struct(i.alias("row"), j.alias("column"), v.alias("answer")))))
-    asked = F.filter(places, lambda c: (c["column"] != F.col("t_key")) & (c["answer"] != "") & (F.length(c["answer"]) <= longest))
-    flat = parsed.select(table_id, "t_plain", "t_key", F.explode(F.slice(row.shuffled(asked, F.col(table_id).cast("string")), 1, most)).alias("c"))
-    r, c = F.col("c")["row"], F.col("c")["column"]
-    column = F.transform(rows, lambda line, i: F.struct(i.alias("i"), cell(line, c).alias("v")))
-    others = F.transform(F.filter(column, lambda x: (x["i"] != r) & (F.length(x["v"]) <= longest)), lambda x: x["v"])
-    return flat.select(table_id, r.alias("row"), c.alias("column"), cell(F.col("t_plain")["headers"], c).alias("header"), cell(F.col("t_plain")["headers"], F.col("t_key")).alias("key_header"),
-                       cell(F.element_at(rows, r + 1), F.col("t_key")).alias("name"), F.col("c")["answer"].alias("answer"), others.alias("others"))
+    cell = lambda line, j: F.element_at(line, j + 1)
+
+    def asked(x: Column) -> Column:
+        rows, headers, key = x["plain"]["rows"], x["plain"]["headers"], x["key"]
+        places = F.flatten(F.transform(rows, lambda line, i: F.transform(line, lambda v, j: F.struct(i.alias("row"), j.alias("column"), v.alias("answer")))))
+        fine = F.filter(places, lambda c: (c["column"] != key) & (c["answer"] != "") & (F.length(c["answer"]) <= longest))
+
+        def told(c: Column) -> Column:
+            r, j = c["row"], c["column"]
+            others = F.filter(F.transform(F.filter(rows, lambda line, i: i != r), lambda line: cell(line, j)), lambda v: F.length(v) <= longest)
+            return F.struct(r.alias("row"), j.alias("column"), cell(headers, j).alias("header"), cell(headers, key).alias("key_header"), cell(F.element_at(rows, r + 1), key).alias("name"), c["answer"].alias("answer"), others.alias("others"))
+
+        return F.transform(F.slice(row.shuffled(fine, F.col(table_id).cast("string")), 1, most), told)
+
+    # one array of at most one table, exploded when only its cells are left: nothing is computed twice, and no row holds the table again
+    keyed = F.transform(F.filter(F.array(parse.plain_table(table)), lambda t: t.isNotNull()), lambda t: F.struct(t.alias("plain"), parse.key_column(t).alias("key")))
+    made = F.flatten(F.transform(F.filter(keyed, lambda x: x["key"].isNotNull()), asked))
+    return df.select(table_id, F.explode(made).alias("c")).select(table_id, "c.*")
 
 
 def current_values(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: str) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import questions, rings
+from gradus.operators import questions, rings, structured
 
 
 def optimized(df) -> str:
@@ -37,3 +37,15 @@ def test_rows_meet_stretches_of_circles(spark, entries):
         assert [d.id for d in got] == [ring[(start + i) % len(ring)] for i in range(1, min(reach, len(ring)) + 1)]
         assert [d.entry for d in got] == [f"t{d.id}" for d in got]
     assert "c_block" in optimized(drawn)  # a row is joined to twice the reach at most, not to a whole circle
+
+
+def test_cells_are_exploded_once(spark):
+    cell = "value string, is_header boolean, column_span int, row_span int"
+    line = lambda head, *values: [(v, head, 1, 1) for v in values]
+    table = [line(True, " name ", "n"), line(False, "x", "1"), line(False, "y", "2"), line(False, "z  z", "")]
+    torn = [line(True, "name", "NAME"), *table[1:]]
+    df = spark.createDataFrame([(1, table), (2, torn), (3, None)], f"id long, t array<array<struct<{cell}>>>")
+    made = structured.table_cells(df, "id", F.col("t"))
+    assert sorted(map(tuple, made.collect())) == [(1, 0, 1, "n", "name", "x", "1", ["2", ""]), (1, 1, 1, "n", "name", "y", "2", ["1", ""])]
+    plan = optimized(made)
+    assert plan.count("Generate explode") == 1 and plan.count("regexp_replace(") == 2  # headers and other rows
