@@ -114,8 +114,8 @@ def with_context(about: Column, text: Column, name: str = "", answers: dict[str,
 
 def kind(options: Column) -> Column:
     """noul for the two options yes and no (English or Russian), else choice."""
-    texts = F.array_join(F.array_sort(F.transform(options, lambda o: F.lower(F.trim(o["text"])))), "|")
-    return F.when(texts.isin("no|yes", "да|нет"), "noul").otherwise("choice")
+    texts = F.array_join(F.sort_array(F.transform(options, lambda o: F.lower(F.trim(o["text"])))), "|")
+    return F.when((F.size(options) <= 2) & texts.isin("no|yes", "да|нет"), "noul").otherwise("choice")
 
 
 def without_parenthesis(title: Column) -> Column:

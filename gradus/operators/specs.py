@@ -110,7 +110,9 @@ def _classes(df: DataFrame, spec: Spec) -> DataFrame:
     own = df.withColumn("s_answer", F.expr(spec.answer).cast("string")).where("s_answer is not null")
     names = builders.class_names(own, "s_answer")
     texts = [spec.options.get(n, n) for n in names]
-    options = F.transform(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in zip(names, texts)]), lambda x: F.struct(row.slugify(x["n"]).alias("id"), x["t"].alias("text")))
+    # slugs of the names are told once, not for every row
+    slugs = df.sparkSession.range(1).select(F.array(*[row.slugify(F.lit(n)) for n in names]).cast("array<string>")).first()[0]
+    options = F.array(*[F.struct(F.lit(s).alias("id"), F.lit(t).alias("text")) for s, t in zip(slugs, texts)])
     return _sample(own, spec, options, row.slugify(F.col("s_answer")))
 
 

@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import questions, rings, structured
+from gradus.functions import row
+from gradus.operators import questions, rings, specs, structured
 
 
 def optimized(df) -> str:
@@ -49,3 +50,15 @@ def test_cells_are_exploded_once(spark):
     assert sorted(map(tuple, made.collect())) == [(1, 0, 1, "n", "name", "x", "1", ["2", ""]), (1, 1, 1, "n", "name", "y", "2", ["1", ""])]
     plan = optimized(made)
     assert plan.count("Generate explode") == 1 and plan.count("regexp_replace(") == 2  # headers and other rows
+
+
+def test_names_of_classes_become_slugs_once(spark):
+    told = {"classes": {"source": "o", "kind": "classes", "state": "s", "answer": "a", "pos": "id", "options": {"No": "no"}}}
+    df = spark.createDataFrame([(1, "x", "No"), (2, "y", "yes "), (3, "z", None)], "id long, s string, a string")
+    made = specs.compiled(specs.from_settings(told), {"o": df})
+    got = made.select("pos", F.to_json("options").alias("options"), "label", "type").orderBy("pos").collect()
+    options = '[{"id":"no","text":"no"},{"id":"yes","text":"yes "}]'
+    assert [tuple(r) for r in got] == [(1, options, [1.0, 0.0], "noul"), (2, options, [0.0, 1.0], "noul")]
+    assert optimized(made.select("options")).count("regexp_replace(") == 0
+    kinds = spark.range(1).select(*[row.kind(row.options_of(o)) for o in (["yes", "no"], ["no|yes"], ["no", "yes", "x"], ["a", "b"])]).first()
+    assert tuple(kinds) == ("noul", "noul", "choice", "choice")
