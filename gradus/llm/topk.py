@@ -8,12 +8,17 @@ scores over m segments of the dimensions; each segment of a block is one local l
 2. That bound is the safe cutoff t. It goes to all blocks with the queries. An entry can only belong to the result if one of its
    partial scores is t / m or more; these entries are sufficient and are collected, the rest are never scored in full. A query without
    a bound (fewer than k entries so far) collects all.
-3. The collected entries' remaining partial scores are added, those of t or more leave the block, and the best k are taken.
+3. The collected entries' remaining partial scores are added, those of t or more leave the block, and the best k are taken. The k-th best
+   of the blocks that a task has seen is a bound too and raises t for those that follow.
 
 So partial scores of all queries and rows are computed once, and those of one block in FIRST once more.
 
-Partial and whole scores are integers, so all comparisons are exact: products run in float64 while every sum stays below 2**53, else in
-int64. Scores beyond int64 raise an error.
+Rows and queries are dealt to the cells of a grid: each block of queries goes to every share of the rows, each block of rows to every group of
+queries. A task holds the queries of a cell, HELD bytes of them on average, and the rows stream by. Both are shuffled; nothing is broadcast, as
+the copies of the queries grow with the shares.
+
+Partial and whole scores are integers, so all comparisons are exact: products run in float32 while every sum of a segment stays below 2**24, in
+float64 below 2**53, else in int64. Scores beyond int64 raise an error.
 
 Defined results: vectors that are null, or hold a null or a component that is not finite, take no part; a null id takes no part; rows
 whose ids are equal are rows of their own: each query row has its own result, and meets all rows but itself; a query with fewer than k
@@ -37,7 +42,10 @@ from gradus.llm.store import settle
 ROWS, QUERIES, SEGMENTS = 1024, 512, 4
 #: Of so many blocks one is looked at for the cutoffs.
 FIRST = 8
+#: Bytes of queries in a cell, on average; cells, unless the rows' bytes are so many times those of the queries.
+HELD, CELLS = 1 << 24, 256
 SCALE = 1024
+LEAST = -(1 << 63)
 
 
 def _usable(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +61,14 @@ def _usable(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def packed(vectors: DataFrame, most: int) -> DataFrame:
     """From (row, id, asked, vector): rows (dim, rows, ids, asked, data), all but dim BINARY: blocks of ``most`` vectors at most of one length, as
-    floor(1024 * x) in int64."""
+    floor(1024 * x) in the narrowest integers that hold the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
 
         def block(dim: int) -> pa.RecordBatch:
-            rows, ids, asked, data = (np.concatenate(c).tobytes() for c in zip(*held.pop(dim)))
+            rows, ids, asked, data = (np.concatenate(c) for c in zip(*held.pop(dim)))
+            rows, ids, asked, data = (c.tobytes() for c in (rows, ids, asked, _narrow(data)))
             return pa.RecordBatch.from_pydict({"dim": [dim], "rows": [rows], "ids": [ids], "asked": [asked], "data": [data]})
 
         for batch in batches:
@@ -110,99 +119,143 @@ def _queries(blocks: DataFrame, most: int) -> DataFrame:
     return found.select(F.sha2("q_rows", 256).alias("q_block"), "*")
 
 
-def _matrix(data: bytes, dim: int, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(n, dim)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
-def _partials(q: np.ndarray, x: np.ndarray, segments: int) -> Iterator[np.ndarray]:
-    """Partial scores of all queries and rows, one segment of the dimensions after the other."""
-    dim = q.shape[1]
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, dim)
-    if most >= 2.0**63:
-        raise ValueError("scores may not fit 64 bits")
-    for j in range(segments):
-        a, b = dim * j // segments, dim * (j + 1) // segments
-        if most < 2.0**53:
-            yield (q[:, a:b].astype(np.float64) @ x[:, a:b].astype(np.float64).T).astype(np.int64)
-        else:
-            yield q[:, a:b] @ x[:, a:b].T
-
+def _matrix(data: bytes, dim: int, n: int) -> np.ndarray:
+    """The width of the integers is told by the length."""
+    return np.frombuffer(data, f"i{len(data) // (n * dim)}" if n * dim else np.int64).reshape(n, dim)
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
 
+def _largest(x: np.ndarray) -> float:
+    return max(-float(x.min(initial=0)), float(x.max(initial=0)))
 
-def _local_lists(k: int, segments: int):
-    """Phase 1 on one pair of blocks."""
 
-    def run(q_rows, q, x_rows, x_ids, x, _):
-        parts = np.stack(list(_partials(q, x, segments)))
-        for i, q_row in enumerate(q_rows):
-            others = np.flatnonzero(x_rows != q_row)
-            if not len(others):
-                continue
-            own = parts[:, i, others]
-            top = np.unique(np.concatenate([_best(p, x_ids[others], k) for p in own]))
-            scores = own[:, top].sum(0)
-            best = top[_best(scores, x_ids[others][top], k)]
-            yield i, x_ids[others][best], own[:, best].sum(0)
+class _Side:
+    """The vectors of a block, in whatever numbers their products are taken."""
 
-    return run
+    def __init__(self, data: bytes, dim: int, n: int):
+        self.x, self.kinds = _matrix(data, dim, n), {}
+        self.largest = _largest(self.x)
 
+    def of(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = self.x.astype(kind)
+        return self.kinds[kind]
 
-def _sufficient(k: int, segments: int):
-    """Phases 2 and 3 on one pair of blocks."""
 
-    def run(q_rows, q, x_rows, x_ids, x, cutoffs):
-        parts = list(_partials(q, x, segments))
+def _partials(q: _Side, x: _Side, segments: int) -> Iterator[np.ndarray]:
+    """Partial scores of all queries and rows, one segment of the dimensions after the other."""
+    dim = q.x.shape[1]
+    most = q.largest * x.largest
+    if most * max(1, dim) >= 2.0**63:
+        raise ValueError("scores may not fit 64 bits")
+    kind = np.float32 if most * -(-dim // segments) < 2.0**24 else np.float64 if most * dim < 2.0**53 else np.int64
+    for j in range(segments):
+        own = slice(dim * j // segments, dim * (j + 1) // segments)
+        yield q.of(kind)[:, own] @ x.of(kind)[:, own].T
+
+
+class _Queries:
+    """A block of queries, and the best of the rows that it has met: scores and ids by query, the best first, LEAST where there are fewer than k."""
+
+    def __init__(self, row: dict, k: int):
+        self.rows, self.ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
+        self.side = _Side(row["data"], row["dim"], len(self.rows))
+        self.cutoffs = np.full(len(self.rows), LEAST) if row["cutoffs"] is None else np.frombuffer(row["cutoffs"], np.int64).copy()
+        self.scores, self.found = np.full((len(self.rows), k), LEAST), np.zeros((len(self.rows), k), np.int64)
+        self.n = np.zeros(len(self.rows), np.int64)
+
+    def local_lists(self, x_rows: np.ndarray, _ids: np.ndarray, x: _Side, k: int, segments: int) -> None:
+        """Phase 1. What counts is the k best scores; the ids of the entries are not kept."""
+        parts = list(_partials(self.side, x, segments))
+        own = self.rows[:, None] == x_rows[None, :]
+        top = np.sort(np.concatenate([np.argpartition(p, -k, axis=1)[:, -k:] for p in parts], axis=1) if len(x_rows) > k else np.broadcast_to(np.arange(len(x_rows)), own.shape), axis=1)
+        scores = sum(np.take_along_axis(p, top, 1).astype(np.int64) for p in parts)
+        scores[np.take_along_axis(own, top, 1)] = LEAST
+        scores[:, 1:][top[:, 1:] == top[:, :-1]] = LEAST
+        self.scores = ~np.sort(~np.concatenate([self.scores, scores], 1), axis=1)[:, :k]
+        self.n = (self.scores > LEAST).sum(1)
+
+    def sufficient(self, x_rows: np.ndarray, x_ids: np.ndarray, x: _Side, k: int, segments: int) -> None:
+        """Phases 2 and 3."""
+        parts = list(_partials(self.side, x, segments))
         # some partial score is at least the mean, rounded up as all are integers; the least integer can not be negated
-        floor = cutoffs // segments + (cutoffs % segments > 0)
+        floor = (self.cutoffs // segments + (self.cutoffs % segments > 0))[:, None]
+        if parts[0].dtype != np.int64:
+            floor = np.clip(floor, -(2**53), 2**53) if parts[0].dtype == np.float64 else np.clip(floor, -(2**24), 2**24)  # partial scores lie between
         some = np.zeros(parts[0].shape, bool)
         for p in parts:
-            some |= p >= floor[:, None]
-        some &= q_rows[:, None] != x_rows[None, :]
+            some |= p >= floor.astype(p.dtype)
         i, j = np.nonzero(some)
-        scores = parts[0][i, j]
-        for p in parts[1:]:
-            scores = scores + p[i, j]
-        full = scores >= cutoffs[i]
-        i, j, scores = i[full], j[full], scores[full]
-        for own in np.unique(i):
-            mine = np.flatnonzero(i == own)
-            best = mine[_best(scores[mine], x_ids[j[mine]], k)]
-            yield own, x_ids[j[best]], scores[best]
-
-    return run
-
-
-def _paired(pairs: DataFrame, work) -> DataFrame:
-    """Rows (q_row, query_id, vec_id, score) of ``work`` on each pair of blocks."""
+        scores = sum(p[i, j].astype(np.int64) for p in parts)
+        full = (scores >= self.cutoffs[i]) & (self.rows[i] != x_rows[j])
+        i, scores, ids = i[full], scores[full], x_ids[j[full]]
+        if not len(i):
+            return
+        met = np.unique(i)
+        held = np.repeat(met, self.n[met])
+        place = np.arange(len(held)) - np.repeat(np.cumsum(self.n[met]) - self.n[met], self.n[met])
+        i, scores, ids = np.append(i, held), np.append(scores, self.scores[held, place]), np.append(ids, self.found[held, place])
+        order = np.lexsort((ids, ~scores, i))
+        i, scores, ids = i[order], scores[order], ids[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, scores, ids, rank = (c[rank < k] for c in (i, scores, ids, rank))
+        self.scores[i, rank], self.found[i, rank] = scores, ids
+        self.n[met] = np.searchsorted(i, met, "right") - np.searchsorted(i, met)
+        whole = met[self.n[met] == k]
+        self.cutoffs[whole] = np.maximum(self.cutoffs[whole], self.scores[whole, k - 1])
+
+    def best(self) -> pa.RecordBatch:
+        i = np.repeat(np.arange(len(self.rows)), self.n)
+        place = np.arange(len(i)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.rows[i], self.ids[i], self.found[i, place], self.scores[i, place])], names=["q_row", "query_id", "vec_id", "score"])
+
+
+def _met(cells: DataFrame, n: int, work, k: int, segments: int) -> DataFrame:
+    """Rows (q_row, query_id, vec_id, score): the k best that ``work`` finds for each query in each cell. A cell's queries come before its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries = None, {}  # by dimension
         for batch in batches:
-            for row in batch.to_pylist():
-                q_rows, q_ids, x_rows, x_ids = (np.frombuffer(row[c], np.int64) for c in ("q_rows", "q_ids", "rows", "ids"))
-                cutoffs = np.frombuffer(row["cutoffs"], np.int64) if row.get("cutoffs") is not None else None
-                found = list(work(q_rows, _matrix(row["q_data"], row["dim"], len(q_rows)), x_rows, x_ids, _matrix(row["data"], row["dim"], len(x_rows)), cutoffs))
-                q = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-                v, s = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[q], q_ids[q], v, s)], names=["q_row", "query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, "q_row long, query_id long, vec_id long, score long")
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query in two steps, so that no task sorts all that one query gathered: first within shares by the hash of the
-    entry, then among the shares' best."""
-    best_first = (F.desc("score"), F.asc("vec_id"))
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(16))
-    some = found.withColumn("t_n", F.row_number().over(Window.partitionBy("q_row", share).orderBy(*best_first))).where(F.col("t_n") <= k).drop("t_n")
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy(*best_first))).where(F.col("rank") <= k)
+            for at in range(len(batch)):
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                if row["cell"] != now:
+                    for q in sum(queries.values(), []):
+                        yield q.best()
+                    now, queries = row["cell"], {}
+                if row["asks"]:
+                    queries.setdefault(row["dim"], []).append(_Queries(row, k))
+                elif row["dim"] in queries:
+                    x_rows, x_ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
+                    x = _Side(row["data"], row["dim"], len(x_rows))
+                    for q in queries[row["dim"]]:
+                        work(q, x_rows, x_ids, x, k, segments)
+        for q in sum(queries.values(), []):
+            yield q.best()
+
+    dealt = cells.repartitionById(n, F.col("cell").cast("int")).sortWithinPartitions("cell", F.desc("asks"))
+    return dealt.mapInArrow(run, "q_row long, query_id long, vec_id long, score long")
+
+
+def _cells(blocks: DataFrame, asked: DataFrame, shares: int, groups: int) -> DataFrame:
+    """Rows (cell, asks, dim, rows, ids, data, cutoffs): each block of rows in all cells of its share, each block of queries in all of its group."""
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = blocks.select("*", all_of(groups).alias("t_group"), F.pmod(F.xxhash64("rows"), F.lit(shares)).alias("t_share"))
+    queries = asked.select("*", F.pmod(F.xxhash64("q_rows"), F.lit(groups)).alias("t_group"), all_of(shares).alias("t_share"))
+    cell = (F.col("t_share") * groups + F.col("t_group")).alias("cell")
+    cutoffs = F.col("cutoffs") if "cutoffs" in asked.columns else F.lit(None).cast("binary")
+    return rows.select(cell, F.lit(False).alias("asks"), "dim", "rows", "ids", "data", F.lit(None).cast("binary").alias("cutoffs")).union(
+        queries.select(cell, F.lit(True), "dim", F.col("q_rows"), F.col("q_ids"), F.col("q_data"), cutoffs)
+    )
+
+
+def _ranked(found: DataFrame, k: int, *ties: str) -> DataFrame:
+    """The k best of each query of what the cells gave, k of each share."""
+    best_first = Window.partitionBy("q_row").orderBy(F.desc("score"), *ties)
+    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", segments: int = SEGMENTS, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
@@ -211,18 +264,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     blocks = settle(packed(own.where("id is not null"), rows))
     asked = settle(_queries(blocks.select("dim", "rows", "ids", "asked", "data"), queries))
     # A block of queries goes to every share of the blocks of rows, and there meets each block of vectors of its length once.
-    n_blocks = blocks.count()
-    shares = max(1, min(n_blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n_blocks, x_bytes = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
+    q_bytes = asked.agg(F.sum(F.length("q_data"))).first()[0] or 0
+    # What is shuffled, rows times groups and queries times shares, is least where both are equal.
+    cells = min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(CELLS, 4 * x_bytes // max(1, q_bytes)))
+    groups = max(1 + q_bytes // HELD, round((cells * q_bytes / max(1, x_bytes)) ** 0.5))
+    shares = max(1, min(n_blocks, -(-cells // groups)))
     some = max(1, n_blocks // FIRST)
-    number = F.xxhash64("rows")
-    blocks = blocks.select("dim", "rows", "ids", "data", F.pmod(number, F.lit(shares)).alias("t_share"), F.pmod(F.shiftright(number, 20), F.lit(FIRST)).alias("t_first"))
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("t_share")
-    few = blocks.where(F.col("t_first") == 0) if some > 1 else blocks
-    first = _ranked(_paired(few.join(asked.select("*", spread), ["dim", "t_share"]), _local_lists(k, segments)), k)
-    cutoffs = first.groupBy("q_row").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("q_row", F.col("low").alias("cutoff"))
+    blocks = blocks.select("dim", "rows", "ids", "data")
+    few = blocks.where(F.pmod(F.shiftright(F.xxhash64("rows"), 20), F.lit(FIRST)) == 0) if some > 1 else blocks
+    first = _ranked(_met(_cells(few, asked, shares, groups), shares * groups, _Queries.local_lists, k, segments), k)
+    cutoffs = first.where(F.col("rank") == k).select("q_row", F.col("score").alias("cutoff"))
     with_cutoffs = settle(_with_cutoffs(asked, settle(cutoffs)))
-    found = _paired(blocks.join(with_cutoffs.select("*", spread), ["dim", "t_share"]), _sufficient(k, segments))
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    found = _met(_cells(blocks, with_cutoffs, shares, groups), shares * groups, _Queries.sufficient, k, segments)
+    return _ranked(found, k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
 def _with_cutoffs(asked: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -241,6 +296,6 @@ def _with_cutoffs(asked: DataFrame, cutoffs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"q_block": batch.column(0), "cutoffs": packed_})
 
     places = asked.select("q_block", "q_rows").mapInArrow(rows, "q_block string, place int, q_row long")
-    known = places.join(cutoffs, "q_row", "left").select("q_block", F.struct("place", F.coalesce("cutoff", F.lit(-(1 << 63))).alias("cutoff")).alias("c"))
+    known = places.join(cutoffs.hint("merge"), "q_row", "left").select("q_block", F.struct("place", F.coalesce("cutoff", F.lit(LEAST)).alias("cutoff")).alias("c"))
     lists = known.groupBy("q_block").agg(F.collect_list("c").alias("cs")).mapInArrow(pack, "q_block string, cutoffs binary")
-    return asked.join(lists, "q_block")
+    return asked.join(lists.hint("merge"), "q_block")

@@ -150,6 +150,22 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_broadcasts_no_copies_of_queries(spark):
+    rng = np.random.default_rng(5)
+    far = [[3.0 * 2.0**i] * 8 for i in (5, 12, 18)]  # blocks whose products need other numbers, met with cutoffs of each other
+    data = [(i, rng.integers(-2, 3, 8).astype(float).tolist()) for i in range(500)] + [(500 + i, v) for i, v in enumerate(far * 20)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    top = topk.top_k(df, F.col("vec_id") % 20 == 0, 10, rows=16, queries=4)
+    got = {}
+    for r in top.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = np.floor(1024 * np.array([v for _, v in data])).astype(np.int64)
+    for q in range(0, len(data), 20):
+        scores = x @ x[q]
+        assert got[q] == [(i, scores[i]) for i in sorted((i for i in range(len(data)) if i != q), key=lambda i: (-scores[i], i))[:10]]
+    assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("segments", [1, 3, 4])
 def test_top_k_gives_all_if_fewer(spark, segments):
     rng = np.random.default_rng(4)
