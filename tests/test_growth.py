@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import row
 from gradus.operators import questions, rings, specs, structured
+from gradus.plans import annotated
 
 
 def optimized(df) -> str:
@@ -52,6 +53,26 @@ def test_cells_are_exploded_once(spark):
     assert plan.count("Generate explode") == 1 and plan.count("regexp_replace(") == 2  # headers and other rows
 
 
+def lineitem(spark, folder, rows) -> str:
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+#: Orders of two lines, of equal ones, of one, with nulls, of lines without a key column, without an id, and of too many lines.
+LINES = [(1, 2, 7, "N"), (1, 1, 9, "N"), (2, 1, 5, "A"), (2, 1, 5, "A"), (3, 1, 5, "A"), (4, 1, None, "R"), (4, 2, 8, None), (5, 1, 3, " x "), (5, 1, 3, "y"),
+         (None, 1, 4, "N"), (None, 2, 4, "N"), *[(6, i, i, "N") for i in range(40)]]
+
+
+def test_order_tables_are_built_once(spark, tmp_path):
+    made = annotated.u_table(spark, lineitem(spark, tmp_path, LINES))
+    text = lambda *lines: "\n".join(["Table: order", "line | part | flag", *lines])
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([
+        (1, 0, text("1 | 9 | fN", "2 | 7 | fN")), (2, None, text("1 | 5 | fA", "1 | 5 | fA")), (4, 0, text("1 | fR", "2 | 8")), (5, 2, text("1 | 3 | f x", "1 | 3 | fy")),
+        (None, 0, text("1 | 4 | fN", "2 | 4 | fN"))], key=repr)
+    plan = optimized(made)
+    assert plan.count("sort_array(") == 1 and plan.count("regexp_replace(") == 2
+
+
 def test_names_of_classes_become_slugs_once(spark):
     told = {"classes": {"source": "o", "kind": "classes", "state": "s", "answer": "a", "pos": "id", "options": {"No": "no"}}}
     df = spark.createDataFrame([(1, "x", "No"), (2, "y", "yes "), (3, "z", None)], "id long, s string, a string")

@@ -191,6 +191,22 @@ def test_plain_table_rejects(spark):
     assert got[0].headers == ["a", "b"] and got[0].rows == [["1", "x"], ["2", "y z"]] and got[1:] == [None] * 8
 
 
+def test_plain_table_of_odd_cells(spark):
+    cell = lambda v, head=False, wide=1, high=1: (v, head, wide, high)
+    heads, one, two = [cell("a", True), cell(" B\n", True)], [cell("K"), cell("1")], [cell(None), cell("")]
+    fine = [([heads, one, two], (["a", "B"], [["K", "1"], [None, ""]], None)), ([heads, one, one], (["a", "B"], [["K", "1"]] * 2, None)),
+            ([heads, [cell("1"), cell("x")], [cell("2"), cell("y")]], (["a", "B"], [["1", "x"], ["2", "y"]], 1)), ([heads, [cell("K"), cell("x")], [cell("\u212a"), cell("y")]], (["a", "B"], [["K", "x"], ["\u212a", "y"]], 1)),
+            ([heads, *[[cell(str(i)), cell("0")] for i in range(39)]], (["a", "B"], [[str(i), "0"] for i in range(39)], 0))]
+    odd = [[heads, one, [cell("2"), None]], [heads, one, None], [heads, [one[0]], [*two, one[1]]], [heads, one, [cell("2", None), cell("3")]], [heads, one, [cell("2", wide=None), cell("3")]],
+           [heads, one, [cell("2", high=None), cell("3")]], [heads, one, [cell("2", high=2), cell("3")]], [heads, one, [cell("2", True), cell("3")]], [[cell("a", None), heads[1]], one, two],
+           [[cell(None, True), heads[1]], one, two], [heads, *[one] * 40], [[], [], []], [None, None, None]]
+    for whole in ("int", "bigint"):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([*[t for t, _ in fine], *odd])], f"i int, t array<array<struct<value:string,is_header:boolean,column_span:{whole},row_span:{whole}>>>")
+        got = df.select("i", parse.plain_table(F.col("t")).alias("p")).select("i", "p", parse.key_column(F.col("p")).alias("key")).orderBy("i").collect()
+        assert [(r.p.headers, r.p.rows, r.key) for r in got[: len(fine)]] == [want for _, want in fine]
+        assert [(r.p, r.key) for r in got[len(fine):]] == [(None, None)] * len(odd)
+
+
 def test_evidence(spark):
     text = "Rome is old. Oslo is cold. Rome is big.\nIt rains."
     rows = [(1, text, "Q", [(27, "Rome")]), (2, text, "Q", [(3, "Rome")]), (3, text, " ", [(0, "Rome")]), (4, "One.", "Q", [(0, "One")]), (5, None, "Q", None)]
