@@ -1,12 +1,13 @@
 """What must not be computed again for every item, row or copy: it decides how the time of large tables grows."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import row
-from gradus.operators import questions, rings, specs, structured
+from gradus.operators import metrics, questions, rings, specs, structured
 from gradus.plans import annotated
 
 
@@ -83,3 +84,36 @@ def test_names_of_classes_become_slugs_once(spark):
     assert optimized(made.select("options")).count("regexp_replace(") == 0
     kinds = spark.range(1).select(*[row.kind(row.options_of(o)) for o in (["yes", "no"], ["no|yes"], ["no", "yes", "x"], ["a", "b"])]).first()
     assert tuple(kinds) == ("noul", "noul", "choice", "choice")
+
+
+def test_temperature_reads_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = [([0.0, 1.0, 3.0], [0.0, 0.0, 1.0]), ([2.0, 0.5, 0.0], [0.0, 1.0, 0.0]), ([1.0, 1.0], [0.5, 0.5]), (None, [1.0]), ([], []), ([None, 1.0], [1.0, 0.0]), ([None, 1.0], [0.0, 0.0]), ([1.0], None), ([5.0, 0.0], [None, 1.0])]
+
+    def told(r):
+        made.add(1)
+        return r
+
+    shape = "logits array<double>, label array<double>"
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(told), shape)
+    got = metrics.fit_temperature(df)
+    assert made.value == len(rows)
+
+    def loss(z, y, t):
+        if z is None or y is None or any(v is None for v in y):
+            return None
+        w = [math.exp((x - max(v for v in z if v is not None)) / t) if None not in z else None for x in z]
+        p = [max(x / sum(w), 1e-9) if x is not None else 1e-9 for x in w]
+        return sum(-b * math.log(a / sum(p)) for a, b in zip(p, y) if b)
+
+    low, high = -3.0, 3.0
+    for _ in range(6):
+        grid = [low + (high - low) * i / 8 for i in range(9)]
+        told_losses = [[loss(z, y, math.exp(g)) for z, y in rows] for g in grid]
+        best = min(range(9), key=lambda i: sum(x for x in told_losses[i] if x is not None))
+        low, high = grid[max(0, best - 1)], grid[min(8, best + 1)]
+    assert got == pytest.approx(math.exp((low + high) / 2), rel=1e-9)
+    assert metrics.fit_temperature(spark.createDataFrame([], shape)) == metrics.fit_temperature(spark.createDataFrame([(None, [1.0])], shape)) == 1.0
+    one = df.select(metrics.nll(metrics.tempered(F.col("logits"), 2.0), F.col("label")).alias("l"))
+    assert [r.l for r in one.collect()] == pytest.approx([loss(z, y, 2.0) for z, y in rows])
+    assert [optimized(one).lower().count(x) for x in ("exp(", "array_max(")] == [1, 1]
